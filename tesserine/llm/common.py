@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_limits(spark: SparkSession) -> None:
     """Keep Arrow batches small; a smaller value that is set already stays."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
-        now = int(str(spark.conf.get(key, "0") or 0).rstrip("bB") or 0)
-        if not 0 < now <= most:
+        now = str(spark.conf.get(key)).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
 
