@@ -45,7 +45,13 @@ class Scratch:
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        kept = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        was = self.spark.conf.get(kept)
+        self.spark.conf.set(kept, "true")  # what is written needs its shuffle files no more
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(kept, was)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def __call__(self, df: DataFrame) -> DataFrame:
