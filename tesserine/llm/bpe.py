@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tesserine.llm.common import arrow_limits
 
 #: Words and fragments that one worker keeps at most; beyond that it starts afresh.
-KEPT = 400_000
+KEPT = 1_000_000
 #: Fragments of more symbols are merged with a heap, in O(n log n).
 LONG = 48
 
