@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserine.llm import bpe, partenum, quality, sharding
+from tesserine.llm import bpe, linededup, partenum, quality, sharding
 from tesserine.llm.common import table
 
 
@@ -33,11 +33,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 SQL: dict[str, str] = {}
