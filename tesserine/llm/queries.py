@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserine.llm import bpe, linededup, partenum, quality, sharding
+from tesserine.llm import bpe, langid, linededup, mixing, partenum, quality, sharding
 from tesserine.llm.common import table
 
 
@@ -33,16 +34,48 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The tree that op8_mixing and the pipeline mix by, and its weights.
+MIX_WEIGHTS = [{"web": 5.0, "reference": 3.0, "forum": 2.0}, {"en": 6.0, "de": 1.5, "fr": 1.5, "es": 1.0, None: 0.5}, None]
+
+
+def mix_levels() -> dict[str, Column]:
+    n = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    n = F.try_to_number(F.when(n == "", None).otherwise(F.substring(n, -9, 9)), F.lit("999999999")).cast("int")
+    domain = F.when(n < 10, "web").when(n < 15, "reference").otherwise("forum")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, share=0.8, epochs=3, keep=[])
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def identify_documents(docs: DataFrame) -> DataFrame:
+    return langid.identify(docs, langid.fit(docs), declared=F.col("lang"), host=F.col("source"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
+def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    pages = table(spark, sf_dir, "pages").withColumn("plain", F.regexp_replace("html", "(?is)<(script|style)\\b.*?</\\1>|<[^>]*>", " "))
+    return langid.identify(pages, model, key="page_id", text="plain", **langid.page_evidence())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
+    "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_language_id": op10_language_id,
+    "langid_pages": langid_pages,
 }
 
 SQL: dict[str, str] = {}
