@@ -8,8 +8,8 @@ pair of pieces, similar sets share one. A signature of two empty pieces says not
 than `spare` are that thin, so a signature that is not empty is still shared for certain.
 
 Signatures travel as packed blocks sorted by hash. Sets with one signature are tested against the smallest of
-them, not pairwise. Where a test fails, the document that failed is then tested against all others with that
-signature, so no link is lost that could join two components. A signature that is frequent within one task is cut into chunks that go to other tasks; only the chunk's smallest goes on.
+them, not pairwise. Where a test fails, the document that failed is then joined with all others that have the
+signature, by prefix filter, so no link is lost that could join two components. A signature that is frequent within one task is cut into chunks that go to other tasks; only the chunk's smallest goes on.
 Tests compare the sets whole. Equal sets stand for one another throughout.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -297,6 +297,58 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, num: int, den
     return scratch(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_compare(num, den), "a long, b long, linked boolean"))
 
 
+def _recovered(lost: DataFrame, around: DataFrame, links: DataFrame, tests: DataFrame, reps, judge, docs: DataFrame, scratch: Scratch, num: int, den: int, width: int) -> DataFrame:  # noqa: ANN001
+    """links, with those of documents that failed a test. lost: (sig, x) who failed; around: (sig, y) all with that signature.
+
+    Where more of x's items than similarity allows occur in no other document around, x links with nothing. Of the rest each is
+    tested against the most central document with its signature, whose items are the most frequent. Who then still has
+    documents of another component around is joined with them by prefix filter: with items in order of frequency,
+    similar sets share one of the rarest num/den leave room for. That finds every link there is.
+    """
+    ids = around.select(F.col("y").alias("id")).distinct()
+    items = scratch(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_items(width), "id long, item long"))
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    counted = scratch(items.join(often, "item"))
+    stats = scratch(counted.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("df") == 1).alias("own"), F.avg("df").alias("mid")))
+    able = stats.filter(den * (F.col("n") - F.col("own")) >= num * F.col("n"))
+    lost = scratch(lost.join(able.select(F.col("id").alias("x")), "x", "left_semi"))
+    center = around.join(stats.select(F.col("id").alias("y"), "mid"), "y").groupBy("sig").agg(F.max(F.struct("mid", "y"))["y"].alias("y"))
+    pair = lambda d: d.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    fresh = scratch(reps(pair(lost.join(center, "sig")).join(tests, ["a", "b"], "left_anti")))
+    links, tests = scratch(links.unionByName(judge(fresh.filter("fits").select("a", "b")))), tests.unionByName(fresh.select("a", "b"))
+
+    parts = components(links, "a", "b", scratch)
+    in_part = lambda d, c: d.join(parts.select(F.col("node").alias(c), "component"), c, "left").withColumn("part", F.coalesce("component", c)).drop("component")
+    placed = scratch(in_part(around.join(able.select(F.col("id").alias("y")), "y", "left_semi"), "y"))
+    span = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("sig")
+    open_ = scratch(lost.join(span, "sig", "left_semi").select("x").distinct())
+    if open_.isEmpty():
+        return links
+    near = placed.join(span, "sig", "left_semi").select(F.col("y").alias("id"), "part").distinct()
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))
+    head = counted.join(near, "id").join(stats.select("id", "n"), "id").withColumn("rank", rank)
+    head = head.filter((F.col("rank") <= F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1) & (F.col("df") > 1))
+    head = scratch(head.select("id", "item", "part", "n"))
+    left = head.join(open_.select(F.col("x").alias("id")), "id", "left_semi").select(F.col("id").alias("x"), "item", F.col("part").alias("xp"), F.col("n").alias("xn"))
+    met = left.join(head.select(F.col("id").alias("y"), "item", "part", "n"), "item").filter((F.col("xp") != F.col("part")) & (den * F.least("n", "xn") >= num * F.greatest("n", "xn")))
+    last = scratch(pair(met.select("x", "y")).join(tests, ["a", "b"], "left_anti"))
+    return scratch(links.unionByName(judge(last)))
+
+
+def _items(width: int):  # noqa: ANN202
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        known = WordHashes()
+        for batch in batches:
+            sets = [shingles(x, known, width).view(np.int64) for x in batch.column(1).to_pylist()]
+            if sets:
+                ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "item"])
+
+    return run
+
+
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", num: int = 85, den: int = 100, width: int = 4) -> DataFrame:
     """(key, n_shingles, component_id) for every row of df; documents link whose sets have a Jaccard similarity of num/den or
     more.
@@ -339,15 +391,11 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", num: int
     stands = one.select("id", "rep").distinct()
     tested = member.filter(F.col("p") != F.col("id")).join(stands, "id").join(stands.select(F.col("id").alias("p"), F.col("rep").alias("rp")), "p")
     lost = tested.select("sig", F.least("rep", "rp").alias("a"), F.greatest("rep", "rp").alias("b"), "rep").join(failed, ["a", "b"], "left_semi").select("sig", F.col("rep").alias("x")).distinct()
-    lost, lost_path = scratch.write(lost)
+    lost = scratch(lost)
     if not lost.isEmpty():
-        parts = components(links, "a", "b", scratch)
-        in_part = lambda d, c: d.join(parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left").withColumn(f"{c}_part", F.coalesce(f"{c}_part", c))
-        around = member.join(lost.select("sig").distinct(), "sig", "left_semi").join(stands, "id").select("sig", F.col("rep").alias("y")).distinct()
-        more = in_part(lost, "x").join(in_part(around, "y"), "sig").filter(F.col("x_part") != F.col("y_part"))
-        more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tests.select("a", "b"), ["a", "b"], "left_anti")
-        more = scratch(reps(more).filter("fits").select("a", "b"))
-        links = links.unionByName(_verified(more, docs, scratch, num, den, width).filter("linked").select("a", "b"))
+        around = scratch(member.join(lost.select("sig").distinct(), "sig", "left_semi").join(stands, "id").select("sig", F.col("rep").alias("y")).distinct())
+        judge = lambda pairs: _verified(pairs, docs, scratch, num, den, width).filter("linked").select("a", "b")
+        links = _recovered(lost, around, links, tests.select("a", "b"), reps, judge, docs, scratch, num, den, width)
 
     parts = components(links, "a", "b", scratch).select(F.col("node").alias("rep"), "component")
     rows = meta.join(parts, "rep", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

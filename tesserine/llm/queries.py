@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import bpe, langid, linededup, mixing, partenum, quality, sharding
+from tesserine.llm import bpe, embeddup, langid, linededup, mixing, partenum, quality, sharding
 from tesserine.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shuffled_shards(docs, 24))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_groups(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
     "op8_mixing": op8_mixing,
