@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import bpe, embeddup, langid, linededup, mixing, partenum, quality, sharding
+from tesserine.llm import bpe, embeddup, langid, linededup, mixing, partenum, quality, sharding, toxicity
 from tesserine.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: The tree that op8_mixing and the pipeline mix by, and its weights.
 MIX_WEIGHTS = [{"web": 5.0, "reference": 3.0, "forum": 2.0}, {"en": 6.0, "de": 1.5, "fr": 1.5, "es": 1.0, None: 0.5}, None]
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
