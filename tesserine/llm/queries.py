@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import bpe, embeddup, langid, linededup, mixing, partenum, quality, sharding, toxicity
+from tesserine.llm import bpe, embeddup, langid, linededup, mixing, pages, partenum, quality, sharding, toxicity
 from tesserine.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shuffled_shards(docs, 24))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -71,13 +75,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(table(spark, sf_dir, "documents"))
-    pages = table(spark, sf_dir, "pages").withColumn("plain", F.regexp_replace("html", "(?is)<(script|style)\\b.*?</\\1>|<[^>]*>", " "))
-    return langid.identify(pages, model, key="page_id", text="plain", **langid.page_evidence())
+    plain = table(spark, sf_dir, "pages").withColumn("plain", F.regexp_replace("html", "(?is)<(script|style)\\b.*?</\\1>|<[^>]*>", " "))
+    return langid.identify(plain, model, key="page_id", text="plain", **langid.page_evidence())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
+    "op3_html_extraction": op3_html_extraction,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
