@@ -7,9 +7,9 @@ difference, and there two of the three pieces agree: of the three signatures tha
 pair of pieces, similar sets share one. A signature of two empty pieces says nothing; it is left out unless more parts
 than `spare` are that thin, so a signature that is not empty is still shared for certain.
 
-Signatures travel as packed blocks sorted by hash. Sets with one signature are tested against the smallest of
-them, not pairwise. Where a test fails, the document that failed is then joined with all others that have the
-signature, by prefix filter, so no link is lost that could join two components. A signature that is frequent within one task is cut into chunks that go to other tasks; only the chunk's smallest goes on.
+Signatures travel as packed blocks sorted by hash. Sets with one signature are paired with the smallest of
+them, not with each other. Where that leaves a signature in several components, its sets are joined by prefix filter, so
+no link is lost that could join two components. A signature that is frequent within one task is cut into chunks that go to other tasks; only the chunk's smallest goes on.
 Tests compare the sets whole. Equal sets stand for one another throughout.
 """
 
@@ -228,12 +228,12 @@ def _gather(batches):  # noqa: ANN001, ANN202
                 own = np.unique(unpack(data[8:], n))
                 yield rows(GROUP, np.frombuffer(data, np.uint64, 1).view(np.int64), docs=[own.tolist()])
                 if len(own) > 1:
-                    pairs.append(np.stack([np.full(len(own) - 1, own[0]), own[1:]], axis=1))
+                    pairs.append(np.stack([np.full(len(own) - 1, own[0]), own[1:], np.ones(len(own) - 1, np.int64)], axis=1))
             else:
                 sigs.append(np.frombuffer(data, np.uint64, n))
                 ids.append(unpack(data[8 * n :], n))
         if len(pairs) > 512:
-            pairs = [np.unique(np.concatenate(pairs), axis=0)]
+            pairs = [_added(pairs)]
     if sigs:
         s, d = np.concatenate(sigs), np.concatenate(ids)
         del sigs, ids
@@ -247,15 +247,23 @@ def _gather(batches):  # noqa: ANN001, ANN202
         pivot = np.repeat(d[first], count)
         later = np.repeat(many, count)
         later[first] = False
-        pairs.append(np.stack([pivot[later], d[later]], axis=1))
+        pairs.append(np.stack([pivot[later], d[later], np.ones(later.sum(), np.int64)], axis=1))
         big = np.flatnonzero(count > 2)
         for at in range(0, len(big), 5000):
             part = big[at : at + 5000]
             yield rows(GROUP, s[first[part]].view(np.int64), docs=[d[first[k] : first[k] + count[k]].tolist() for k in part.tolist()])
     if pairs:
-        found = np.unique(np.concatenate(pairs), axis=0)
+        found = _added(pairs)
         for at in range(0, len(found), 50_000):
-            yield rows(TEST, found[at : at + 50_000, 0], found[at : at + 50_000, 1])
+            yield rows(TEST, *found[at : at + 50_000].T)
+
+
+def _added(pairs: list[np.ndarray]) -> np.ndarray:
+    """(a, b, how often) for each pair once."""
+    rows = np.concatenate(pairs)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
+    return np.column_stack([rows[first, :2], np.add.reduceat(rows[:, 2], first)])
 
 
 def _sets(width: int):  # noqa: ANN202
@@ -264,7 +272,10 @@ def _sets(width: int):  # noqa: ANN202
 
         known = WordHashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x, known, width).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "items"])
+            sets = [shingles(x, known, width).view(np.int64) for x in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), items], names=["id", "items"])
 
     return run
 
@@ -273,14 +284,14 @@ def _compare(num: int, den: int):  # noqa: ANN202
     def run(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        last, own = None, np.empty(0, np.uint64)
+        last, own = None, np.empty(0, np.int64)
         for batch in batches:
-            a, b, linked = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            xs, ys = batch.column(2), batch.column(3)
+            a, linked = batch.column(0).to_pylist(), []
+            (xs, xo), (ys, yo) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3)))
             for k in range(len(a)):
                 if last != a[k]:
-                    last, own = a[k], np.frombuffer(xs[k].as_py(), np.uint64)
-                other = np.frombuffer(ys[k].as_py(), np.uint64)
+                    last, own = a[k], xs[xo[k] : xo[k + 1]].copy()
+                other = ys[yo[k] : yo[k + 1]]
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 linked.append(den * both >= num * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
@@ -288,65 +299,77 @@ def _compare(num: int, den: int):  # noqa: ANN202
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, num: int, den: int, width: int) -> DataFrame:
-    """(a, b, linked) for pairs (a, b) of documents; docs: (id, text). Only the texts of documents in pairs are shuffled on."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = scratch(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, items binary"))
+def _judged(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link."""
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return scratch(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_compare(num, den), "a long, b long, linked boolean"))
+    met = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    return scratch(met.mapInArrow(_compare(num, den), "a long, b long, linked boolean").filter("linked").select("a", "b"))
 
 
-def _recovered(lost: DataFrame, around: DataFrame, links: DataFrame, tests: DataFrame, reps, judge, docs: DataFrame, scratch: Scratch, num: int, den: int, width: int) -> DataFrame:  # noqa: ANN001
-    """links, with those of documents that failed a test. lost: (sig, x) who failed; around: (sig, y) all with that signature.
+def _all_links(tests: DataFrame, groups: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect whatever is similar. tests: (a, b, na, nb, c, fits), c the signatures shared; groups: (sig, y).
 
-    Where more of x's items than similarity allows occur in no other document around, x links with nothing. Of the rest each is
-    tested against the most central document with its signature, whose items are the most frequent. Who then still has
-    documents of another component around is joined with them by prefix filter: with items in order of frequency,
-    similar sets share one of the rarest num/den leave room for. That finds every link there is.
+    Each document is first tested against the one it shares most signatures with. From then on only what lies in different
+    components matters: documents tested elsewhere, and those of one signature. Among all of these, items that one document
+    alone has bound its similarity to any other, so most pairs need no test. The rest are tested as they stand, and each
+    document against the most central one with its signature, whose items are the most frequent. Where a signature then
+    still spans components, its documents are joined by positional prefix filter: with items in order of frequency, the
+    first one that similar sets share stands early in both. That finds every link there is.
     """
-    ids = around.select(F.col("y").alias("id")).distinct()
-    items = scratch(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_items(width), "id long, item long"))
-    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    counted = scratch(items.join(often, "item"))
-    stats = scratch(counted.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("df") == 1).alias("own"), F.avg("df").alias("mid")))
+    pairs = lambda d: d.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    best = scratch(tests.filter("fits").groupBy("b").agg(F.max(F.struct("c", "a"))["a"].alias("a")))
+    links = _judged(best, sets, scratch, num, den)
+    parts = components(links, "a", "b", scratch)
+
+    def placed(d: DataFrame, c: str, to: str = "part") -> DataFrame:
+        own = parts.select(F.col("node").alias(c), F.col("component").alias("_part"))
+        return d.join(own, c, "left").withColumn(to, F.coalesce("_part", c)).drop("_part")
+
+    def spanning(d: DataFrame) -> DataFrame:
+        """The rows (sig, y, part) of signatures that lie in several components."""
+        several = d.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("sig")
+        return d.join(several, "sig", "left_semi")
+
+    waiting = tests.filter("fits").select("a", "b").join(best, ["a", "b"], "left_anti")
+    waiting = scratch(placed(placed(waiting, "a", "pa"), "b", "pb").filter("pa <> pb").select("a", "b"))
+    around = scratch(spanning(placed(groups, "y")).select("sig", "y"))
+    ids = waiting.select(F.col("a").alias("id")).unionByName(waiting.select(F.col("b").alias("id"))).unionByName(around.select(F.col("y").alias("id"))).distinct()
+    items = sets.join(ids, "id", "left_semi").select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
+    items, path = scratch.write(items)
+    counted, counted_path = scratch.write(items.join(items.groupBy("item").agg(F.count(F.lit(1)).alias("df")), "item"))
+    scratch.drop(path)
+    stats = scratch(counted.groupBy("id").agg(F.max("n").alias("n"), F.count_if(F.col("df") == 1).alias("own"), F.avg("df").alias("mid")))
+
+    def possible(d: DataFrame) -> DataFrame:
+        one, two = (stats.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), (F.col("n") - F.col("own")).alias(f"s{c}")) for c in "ab")
+        most = F.least("sa", "sb")
+        return d.join(one, "a").join(two, "b").filter(den * most >= num * (F.col("na") + F.col("nb") - most)).select("a", "b")
+
     able = stats.filter(den * (F.col("n") - F.col("own")) >= num * F.col("n"))
-    lost = scratch(lost.join(able.select(F.col("id").alias("x")), "x", "left_semi"))
-    center = around.join(stats.select(F.col("id").alias("y"), "mid"), "y").groupBy("sig").agg(F.max(F.struct("mid", "y"))["y"].alias("y"))
-    pair = lambda d: d.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    fresh = scratch(reps(pair(lost.join(center, "sig")).join(tests, ["a", "b"], "left_anti")))
-    links, tests = scratch(links.unionByName(judge(fresh.filter("fits").select("a", "b")))), tests.unionByName(fresh.select("a", "b"))
+    around = scratch(around.join(able.select(F.col("id").alias("y"), "mid"), "y"))
+    center = around.groupBy("sig").agg(F.max(F.struct("mid", "y"))["y"].alias("x"))
+    tested = best.select("a", "b").unionByName(tests.filter("not fits").select("a", "b"))
+    fresh = scratch(possible(waiting.unionByName(pairs(around.select("sig", "y").join(center, "sig"))).distinct().join(tested, ["a", "b"], "left_anti")))
+    links = scratch(links.unionByName(_judged(fresh, sets, scratch, num, den)))
 
     parts = components(links, "a", "b", scratch)
-    in_part = lambda d, c: d.join(parts.select(F.col("node").alias(c), "component"), c, "left").withColumn("part", F.coalesce("component", c)).drop("component")
-    placed = scratch(in_part(around.join(able.select(F.col("id").alias("y")), "y", "left_semi"), "y"))
-    span = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("sig")
-    open_ = scratch(lost.join(span, "sig", "left_semi").select("x").distinct())
+    open_ = scratch(spanning(placed(around.select("sig", "y"), "y")).select("y", "part").distinct())
     if open_.isEmpty():
+        scratch.drop(counted_path)
         return links
-    near = placed.join(span, "sig", "left_semi").select(F.col("y").alias("id"), "part").distinct()
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))
-    head = counted.join(near, "id").join(stats.select("id", "n"), "id").withColumn("rank", rank)
-    head = head.filter((F.col("rank") <= F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1) & (F.col("df") > 1))
-    head = scratch(head.select("id", "item", "part", "n"))
-    left = head.join(open_.select(F.col("x").alias("id")), "id", "left_semi").select(F.col("id").alias("x"), "item", F.col("part").alias("xp"), F.col("n").alias("xn"))
-    met = left.join(head.select(F.col("id").alias("y"), "item", "part", "n"), "item").filter((F.col("xp") != F.col("part")) & (den * F.least("n", "xn") >= num * F.greatest("n", "xn")))
-    last = scratch(pair(met.select("x", "y")).join(tests, ["a", "b"], "left_anti"))
-    return scratch(links.unionByName(judge(last)))
-
-
-def _items(width: int):  # noqa: ANN202
-    def run(batches):  # noqa: ANN001, ANN202
-        import pyarrow as pa
-
-        known = WordHashes()
-        for batch in batches:
-            sets = [shingles(x, known, width).view(np.int64) for x in batch.column(1).to_pylist()]
-            if sets:
-                ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "item"])
-
-    return run
+    head = counted.join(open_.select(F.col("y").alias("id"), "part"), "id").withColumn("rank", rank)
+    room = F.floor((den * F.col("n") - num * F.col("n")) / den)  # items that the other may lack
+    head, head_path = scratch.write(head.filter((F.col("rank") <= room + 1) & (F.col("df") > 1)).select("id", "item", "n", "rank", "part"))
+    scratch.drop(counted_path)
+    other = head.select(F.col("id").alias("y"), "item", F.col("n").alias("m"), F.col("rank").alias("at"), F.col("part").alias("there"))
+    shared = 1 + F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("at"))
+    near = (F.col("id") < F.col("y")) & (F.col("part") != F.col("there")) & (den * shared >= num * (F.col("n") + F.col("m") - shared))
+    met = pairs(head.alias("p").join(other, "item").filter(near).select(F.col("id").alias("x"), "y"))
+    last = scratch(met.join(tested.unionByName(fresh), ["a", "b"], "left_anti"))
+    scratch.drop(head_path)
+    return scratch(links.unionByName(_judged(last, sets, scratch, num, den)))
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", num: int = 85, den: int = 100, width: int = 4) -> DataFrame:
@@ -371,33 +394,19 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", num: int
     meta = scratch(meta.join(first, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     one = meta.filter(F.col("n") > 0)
 
-    def reps(pairs: DataFrame) -> DataFrame:
-        """Pairs of representatives, with sizes, each once."""
-        a = one.select(F.col("id").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"))
-        b = one.select(F.col("id").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
-        met = pairs.join(a, "a").join(b, "b").filter(F.col("ra") != F.col("rb"))
-        turn = F.col("ra") < F.col("rb")
-        pick = lambda x, y: F.when(turn, F.col(x)).otherwise(F.col(y))
-        return met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), (den * F.least("na", "nb") >= num * F.greatest("na", "nb")).alias("fits")).groupBy("a", "b").agg(F.max("fits").alias("fits"))
-
-    tests = scratch(reps(found.filter(F.col("kind") == TEST).select("a", "b").distinct()))
-    judged = _verified(tests.filter("fits").select("a", "b"), docs, scratch, num, den, width)
-    links = judged.filter("linked").select("a", "b")
-    failed = tests.select("a", "b").join(links, ["a", "b"], "left_anti")
-
-    # Documents that failed a test, against all others with that signature.
-    groups = found.filter(F.col("kind") == GROUP).select(F.col("a").alias("sig"), "docs")
-    member = groups.select("sig", F.col("docs")[0].alias("p"), F.explode("docs").alias("id"))
-    stands = one.select("id", "rep").distinct()
-    tested = member.filter(F.col("p") != F.col("id")).join(stands, "id").join(stands.select(F.col("id").alias("p"), F.col("rep").alias("rp")), "p")
-    lost = tested.select("sig", F.least("rep", "rp").alias("a"), F.greatest("rep", "rp").alias("b"), "rep").join(failed, ["a", "b"], "left_semi").select("sig", F.col("rep").alias("x")).distinct()
-    lost = scratch(lost)
-    if not lost.isEmpty():
-        around = scratch(member.join(lost.select("sig").distinct(), "sig", "left_semi").join(stands, "id").select("sig", F.col("rep").alias("y")).distinct())
-        judge = lambda pairs: _verified(pairs, docs, scratch, num, den, width).filter("linked").select("a", "b")
-        links = _recovered(lost, around, links, tests.select("a", "b"), reps, judge, docs, scratch, num, den, width)
+    # Tests between representatives, each once.
+    a = one.select(F.col("id").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"))
+    b = one.select(F.col("id").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
+    tests = found.filter(F.col("kind") == TEST).groupBy("a", "b").agg(F.sum("c").alias("c")).join(a, "a").join(b, "b").filter(F.col("ra") != F.col("rb"))
+    fits = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    tests = scratch(tests.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), fits.alias("fits"), "c").groupBy("a", "b").agg(F.max("fits").alias("fits"), F.max("c").alias("c")))
+    groups = found.filter(F.col("kind") == GROUP).select(F.col("a").alias("sig"), F.explode("docs").alias("id"))
+    groups = groups.join(one.select("id", "rep").distinct(), "id").select("sig", F.col("rep").alias("y")).distinct()
+    ids = tests.select(F.col("a").alias("id")).unionByName(tests.select(F.col("b").alias("id"))).distinct()
+    sets = scratch(docs.hint("merge").join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, items array<long>"))
+    links = _all_links(tests, groups, sets, scratch, num, den)
 
     parts = components(links, "a", "b", scratch).select(F.col("node").alias("rep"), "component")
     rows = meta.join(parts, "rep", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    bare = docs.filter(F.col("id").isNull()).mapInArrow(_sets(width), "id long, items binary")
-    return rows.unionByName(bare.select(F.col("id").alias(key), (F.octet_length("items") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    bare = docs.filter(F.col("id").isNull()).mapInArrow(_sets(width), "id long, items array<long>")
+    return rows.unionByName(bare.select(F.col("id").alias(key), F.size("items").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
