@@ -80,7 +80,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 def fit(sample: np.ndarray, total: int, cosine: float, target: float = TARGET, seed: int = 3) -> Index:
     """Codebooks of both halves and the margin, from unit vectors."""
     rng = np.random.default_rng(seed)
-    k = max(2, min(MOST_WORDS, int(math.sqrt(total / PER_CELL))))
+    k = max(1, min(MOST_WORDS, int(math.sqrt(total / PER_CELL))))  # a small table is one cell, and compared whole
     h = sample.shape[1] // 2
     plain = Index((_kmeans(sample[:, :h], k, rng), _kmeans(sample[:, h:], k, rng)), 0.0)
     x = sample[rng.choice(len(sample), min(len(sample), 2000), replace=False)]

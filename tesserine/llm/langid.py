@@ -165,5 +165,5 @@ def page_evidence(url: str = "url", html: str = "html") -> dict[str, Column]:
     lang = F.lower(F.regexp_extract(F.col(html), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z]{2,3})""", 1))
     return {
         "declared": F.when(lang == "", None).otherwise(lang), "suffix": F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")),
-        "host": host, "domain": F.regexp_extract(host, r"([^.]+\.[^.]+)$|^(.*)$", 0),
+        "host": host, "domain": F.coalesce(F.nullif(F.regexp_extract(host, r"[^.]+\.[^.]+$", 0), F.lit("")), host),
     }

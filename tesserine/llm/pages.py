@@ -37,6 +37,8 @@ MARKS = frozenset(
 )
 CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 KIN = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+#: Elements that may be the main one without saying so.
+PLAIN = frozenset("body center div section td".split())
 HOLDERS = frozenset("article aside blockquote body dd div fieldset figure footer form header html li main nav section td th".split())
 
 TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<")
@@ -44,7 +46,7 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 DIGITS = re.compile(r"\d+")
 PARTS = re.compile(r"[^a-z0-9]+")
 #: Share of a host's pages on which a text belongs to the template, of text that a main element must hold; classes kept for a host.
-OFTEN, HOLDS, CLASSES = 0.5, 0.6, 8
+OFTEN, HOLDS, CLASSES = 0.5, 0.75, 8
 
 
 def digest(value: str, seed: int = 0) -> int:
@@ -161,7 +163,7 @@ def main_element(page: Page, mains: list[int]) -> int:
         if own:
             return max(own, key=lambda n: (page.chars[n], -n))
     total = sum(page.chars[n] for n in range(len(page.tag)) if page.parent[n] < 0)
-    fit = [n for n in range(len(page.tag)) if page.tag[n] in HOLDERS and not page.out[n] and page.chars[n] >= HOLDS * total and total]
+    fit = [n for n in range(len(page.tag)) if page.tag[n] in PLAIN and not page.out[n] and page.chars[n] >= HOLDS * total and total]
     return max(fit, key=lambda n: (page.depth[n], page.chars[n], -n), default=-1)
 
 
@@ -199,7 +201,7 @@ def _tokens(batches):  # noqa: ANN001, ANN202
             page = scan(source or "")
             counts: dict[tuple[int, int], list[int]] = {(PAGE, 0): [1, 0, 0, 0, 0]}
             for n, p in enumerate(page.path):
-                if not page.out[n] and page.tag[n] in HOLDERS:
+                if not page.out[n] and (page.tag[n] in PLAIN or page.tag[n] == "html" or page.rank[n]):
                     own = counts.setdefault((ELEMENT, p), [0, page.path[page.parent[n]] if page.parent[n] >= 0 else 0, 0, page.rank[n], page.depth[n]])
                     own[0] += 1
                     own[2] += page.chars[n]
