@@ -41,6 +41,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tesserine/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.live: set[str] = set()
 
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         self.count += 1
@@ -52,16 +53,25 @@ class Scratch:
             df.write.parquet(path)
         finally:
             self.spark.conf.set(kept, was)
+        self.live.add(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def __call__(self, df: DataFrame) -> DataFrame:
         return self.write(df)[0]
 
     def drop(self, path: str) -> None:
+        self.live.discard(path)
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def release(self, df: DataFrame) -> DataFrame:
+        """df, when all tables that it does not read are gone."""
+        used = {f.rpartition("/")[0].rpartition("/tesserine/")[2] for f in df.inputFiles()}
+        for path in [p for p in self.live if p.rpartition("/tesserine/")[2] not in used]:
+            self.drop(path)
+        return df
+
     def close(self) -> None:
         self.drop(self.root)
 

@@ -28,7 +28,7 @@ from tesserine.llm.components import components
 
 #: Vectors that codebooks are fitted on, about; codewords of a half; vectors in a cell, about, and in a block.
 SAMPLE, MOST_WORDS, PER_CELL, BLOCK = 20_000, 256, 64, 512
-TARGET = 0.998
+TARGET = 0.99
 #: Different lengths of vectors that one table may hold; each has an index of its own.
 MOST_LENGTHS = 16
 
@@ -99,11 +99,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _matrix(raw: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _matrix(raw: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
 
 
-def _placed(index: Index):  # noqa: ANN202
+def _placed(index: Index, kind: type):  # noqa: ANN202
     def run(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
@@ -112,12 +112,12 @@ def _placed(index: Index):  # noqa: ANN202
                 continue
             x = np.array(batch.column(2).to_pylist(), np.float64)
             cells = index.visits(_unit(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c[0] for c in cells], pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "w", "home", "cells", "raw"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c[0] for c in cells], pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())], names=["id", "w", "home", "cells", "raw"])
 
     return run
 
 
-def _met(cosine: float):  # noqa: ANN202
+def _met(cosine: float, kind: type):  # noqa: ANN202
     """Block against block: (id, n) counts of links and (id, to) links that connect the same vectors."""
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -127,7 +127,7 @@ def _met(cosine: float):  # noqa: ANN202
             ids, counts, joined, to = [], [], [], []
             for same, p, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 a, b = (np.array([r["id"] for r in x], np.int64) for x in (p, m))
-                link = _unit(_matrix([r["raw"] for r in p])) @ _unit(_matrix([r["raw"] for r in m])).T >= cosine
+                link = _unit(_matrix([r["raw"] for r in p], kind)) @ _unit(_matrix([r["raw"] for r in m], kind)).T >= cosine
                 link &= a[:, None] != b[None, :]
                 rows, cols = link.any(1), link.any(0)
                 if not rows.any():
@@ -181,6 +181,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     arrow_limits(spark)
     scratch = Scratch(spark, "embeddup")
     v = F.col(vector).cast("array<double>")
+    kind = np.float32 if df.schema[vector].dataType == T.ArrayType(T.FloatType(), df.schema[vector].dataType.containsNull) else np.float64  # floats travel as they are
     fine = F.col(key).isNotNull() & F.coalesce(F.size(v) > 0, F.lit(False)) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = df.select(F.col(key).cast("long").alias("id"), F.when(fine, v).alias("v"))
     rows = rows.withColumn("h1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("h2", F.when(F.col("v").isNotNull(), F.xxhash64("v", F.lit(1))))
@@ -198,22 +199,22 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
         if not sample:
             sample = own.select("v").limit(SAMPLE).toArrow().column("v").to_pylist()
         index = fit(_unit(np.array(sample, np.float64)), total, cosine, target)
-        placed = scratch(own.select("id", "w", "v").mapInArrow(_placed(index), T.StructType([T.StructField("id", T.LongType()), T.StructField("w", T.LongType()), T.StructField("home", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("raw", T.BinaryType())])))
+        placed = scratch(own.select("id", "w", "v").mapInArrow(_placed(index, kind), T.StructType([T.StructField("id", T.LongType()), T.StructField("w", T.LongType()), T.StructField("home", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("raw", T.BinaryType())])))
         there = placed.select(F.explode("cells").alias("cell"), "*").withColumn("guest", F.col("cell") != F.col("home"))
         sizes = scratch(there.groupBy("cell", "guest").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
         there = there.join(F.broadcast(sizes), ["cell", "guest"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        blocks = there.groupBy("cell", "guest", "block").agg(F.collect_list(F.struct("id", "w", "home", "cells", "raw")).alias("m"))
+        blocks = there.groupBy("cell", "guest", "block").agg(F.collect_list(F.struct("id", "w", "home", F.when(~F.col("guest"), F.col("cells")).alias("cells"), "raw")).alias("m"))
         blocks = scratch(blocks)
         home = blocks.filter(~F.col("guest")).select("cell", "block", "m")
         guests = blocks.filter("guest").select("cell", F.col("m").alias("p"))
         foreign = home.join(guests, "cell").select(F.lit(0).alias("same"), "p", "m")
         within = home.join(home.select("cell", F.col("block").alias("other"), F.col("m").alias("p")), "cell").filter(F.col("block") <= F.col("other"))
         within = within.select(F.when(F.col("block") == F.col("other"), 2).otherwise(1).alias("same"), "p", "m")
-        found = found.unionByName(foreign.unionByName(within).mapInArrow(_met(cosine), "id long, n long, to long"))
+        found = found.unionByName(foreign.unionByName(within).mapInArrow(_met(cosine, kind), "id long, n long, to long"))
     found = scratch(found)
     counts = found.filter(F.col("to").isNull()).groupBy("id").agg(F.sum("n").alias("n")).select(F.col("id").alias("rep"), "n")
     parts = components(found.filter(F.col("to").isNotNull()), "id", "to", scratch).select(F.col("node").alias("rep"), "component")
     classes = one.select("h1", "h2", F.col("id").alias("rep"), "w")
     out = rows.select("id", "h1", "h2").join(classes, ["h1", "h2"], "left").join(counts, "rep", "left").join(parts, "rep", "left")
     component = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias(key), (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("w") - 1, F.lit(0))).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return scratch.release(out.select(F.col("id").alias(key), (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("w") - 1, F.lit(0))).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")))

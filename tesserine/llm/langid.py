@@ -155,7 +155,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     total = sum((F.exp(F.get("_score", F.lit(i)) - F.col("_high")) for i in range(len(langs))), F.lit(0.0))
     kept = F.col("_ll").isNotNull() & ((F.col("_n") < FEW) | (F.col("_top") >= CHANCE)) & F.coalesce(1 / total >= MOST, F.lit(False))
     best = F.get(names, (F.array_position("_score", F.col("_high")) - 1).cast("int"))
-    return rows.select(F.col("_key").alias(key), F.when(kept, best).otherwise("und").alias("language"), F.coalesce(1 / total, F.lit(0.0)).alias("confidence"), kept.alias("kept"))
+    return scratch.release(rows.select(F.col("_key").alias(key), F.when(kept, best).otherwise("und").alias("language"), F.coalesce(1 / total, F.lit(0.0)).alias("confidence"), kept.alias("kept")))
 
 
 def page_evidence(url: str = "url", html: str = "html") -> dict[str, Column]:

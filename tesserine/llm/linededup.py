@@ -54,9 +54,10 @@ def _agree(a: Column, b: Column) -> Column:
     return F.when(stop == 0, F.size(same)).otherwise(stop - 1).cast("int")
 
 
-def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", weight: int = WEIGHT) -> DataFrame:
+def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", weight: int = WEIGHT, scratch: Scratch | None = None) -> DataFrame:
     """(doc, mark, runs): for each document with later repeated runs, the numbers of their first and last lines, disjoint and in order."""
-    all_windows = Scratch(df.sparkSession, "lines")(windows(df, key, text, weight))
+    scratch = scratch or Scratch(df.sparkSession, "lines")
+    all_windows = scratch(windows(df, key, text, weight))
     place = F.xxhash64("doc", "mark", "low_at")
     prints = all_windows.groupBy("low").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("low")
     live = all_windows.join(prints, "low", "left_semi")
@@ -73,7 +74,7 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", weight
     fresh = F.coalesce(F.col("begin") > F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(False)).cast("int")
     spans = spans.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     runs = spans.groupBy("doc", "mark", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    return runs.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("runs"))
+    return scratch.release(scratch(runs.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("runs"))))
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", weight: int = WEIGHT) -> DataFrame:
@@ -86,7 +87,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", weight:
     df = df.drop("n_lines", "n_removed")
     doc, mark, runs, was, left = (free_name(df, x) for x in ("doc", "mark", "runs", "was", "left"))
     found = repeated_runs(df, key, text, weight).select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("runs").alias(runs))
-    met = df.join(found, F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(text_of(text)) == F.col(mark)), "left")
+    met = df.hint("merge").join(found, F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(text_of(text)) == F.col(mark)), "left")
     gone = F.flatten(F.transform(runs, lambda r: F.sequence(r["begin"], r["end"])))
     met = met.withColumn(was, F.when(F.col(runs).isNotNull(), _lines(F.col(text))))
     met = met.withColumn(left, F.array_except(F.sequence(F.lit(0), F.size(was) - 1), gone))

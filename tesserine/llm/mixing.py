@@ -130,5 +130,5 @@ def mix(df: DataFrame, levels: dict[str, Column], weights: Sequence[dict | None]
     times = F.col("whole") + F.when(F.col("until").isNotNull() & (_order(by, seed, F.col("whole")) <= F.col("until")), 1).otherwise(0)
     out = met.withColumn("_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
     if keep is None:
-        return out.drop(*names, "whole", "until", "_planned")
-    return out.select(F.col("_key").alias(key), *[F.col(n).alias(x) for n, x in zip(names, levels)], "tokens", F.col("_epoch").alias("epoch"))
+        return scratch.release(out.drop(*names, "whole", "until", "_planned"))
+    return scratch.release(out.select(F.col("_key").alias(key), *[F.col(n).alias(x) for n, x in zip(names, levels)], "tokens", F.col("_epoch").alias("epoch")))

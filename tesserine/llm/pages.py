@@ -219,12 +219,12 @@ def _tokens(batches):  # noqa: ANN001, ANN202
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=_TOKENS.names)
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, mains, fixed) of pages (host, key, html): paths of main elements, best first, and the template's texts."""
     found = pages.filter(F.col("host").isNotNull()).mapInArrow(_tokens, _TOKENS)
     sums = found.groupBy("host", "kind", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "chars")], F.bit_xor("sign").alias("sign"), *[F.max(c).alias(c) for c in ("parent", "rank", "depth")])
     sums = sums.filter((F.col("kind") == PAGE) | (F.col("pages") >= 2))
-    sums = Scratch(pages.sparkSession, "pages")(sums)
+    sums = scratch(sums)
     many = sums.filter(F.col("kind") == PAGE).select(F.col("host").alias("_host"), F.col("pages").alias("all"))
     often = sums.filter(F.col("kind") != PAGE).join(many, F.col("host") == F.col("_host")).filter((F.col("all") >= 3) & (F.col("pages") >= OFTEN * F.col("all")))
     fixed = often.filter(F.col("kind") == TEXT).groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("fixed"))
@@ -264,7 +264,7 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
     arrow_limits(df.sparkSession)
     scratch = Scratch(df.sparkSession, "pages")
     pages = df.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), host_of(url).alias("host"))
-    known = scratch(templates(pages.select("host", F.xxhash64("key", "url").alias("key"), "html")))
+    known = scratch(templates(pages.select("host", F.xxhash64("key", "url").alias("key"), "html"), scratch))
     met = pages.join(known.select(F.col("host").alias("_host"), "mains", "fixed"), F.col("host") == F.col("_host"), "left")
     kind = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return met.select("key", "url", "html", "mains", "fixed").mapInArrow(_extract, kind).select(F.col("key").alias(key), F.col("url").alias(url), "text", "n_chars")
+    return scratch.release(met.select("key", "url", "html", "mains", "fixed").mapInArrow(_extract, kind).select(F.col("key").alias(key), F.col("url").alias(url), "text", "n_chars"))

@@ -26,9 +26,9 @@ from tesserine.llm.common import Scratch, arrow_limits
 from tesserine.llm.components import components
 
 #: Signatures that a task holds before it sends them on; copies of one signature therein beyond which they are a chunk of their own.
-HELD, HOT = 1_000_000, 64
+HELD, HOT = 600_000, 64
 #: Text bytes for each task that gathers signatures.
-TASK_BYTES = 24 << 20
+TASK_BYTES = 16 << 20
 SPLITS = 16
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 META, TEST, GROUP = 0, 1, 2
@@ -44,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes by word."""
 
-    MOST = 400_000
+    MOST = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -409,4 +409,4 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", num: int
     parts = components(links, "a", "b", scratch).select(F.col("node").alias("rep"), "component")
     rows = meta.join(parts, "rep", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     bare = docs.filter(F.col("id").isNull()).mapInArrow(_sets(width), "id long, items array<long>")
-    return rows.unionByName(bare.select(F.col("id").alias(key), F.size("items").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    return scratch.release(rows.unionByName(bare.select(F.col("id").alias(key), F.size("items").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))))

@@ -246,6 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     got = rows.mapInArrow(describe, "toxic boolean, x array<double>").toArrow()
     x, y = np.array(got.column("x").to_pylist()), np.array(got.column("toxic").to_pylist(), float)
+    scratch.close()
     return Model(terms, weight, *regress(x, y))
 
 
