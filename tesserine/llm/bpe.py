@@ -15,7 +15,6 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
@@ -25,7 +24,7 @@ from pyspark.sql import types as T
 from tesserine.llm.common import arrow_limits
 
 #: Words and fragments that one worker keeps at most; beyond that it starts afresh.
-KEPT = 1_000_000
+KEPT = 250_000
 #: Fragments of more symbols are merged with a heap, in O(n log n).
 LONG = 48
 
@@ -40,13 +39,13 @@ def byte_letters() -> list[str]:
 
 
 class Words(dict):
-    """Ids by word; what is missing is encoded and kept."""
+    """Ids by word, packed; what is missing is encoded and kept."""
 
     def __init__(self, codec: Codec):
         self.codec = codec
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        out = self.codec.word(word)
+    def __missing__(self, word: str) -> bytes:
+        out = array("i", self.codec.word(word)).tobytes()
         if len(self) >= KEPT:
             self.clear()
         if len(word) <= LONG:
@@ -168,7 +167,7 @@ class Codec:
             if n % 2:
                 out.append(self.added[piece])
             else:
-                out.extend(array("i", chain.from_iterable(map(known, self.find(self.normalize(piece))))))
+                out.frombytes(b"".join(map(known, self.find(self.normalize(piece)))))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:

@@ -41,29 +41,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes by word."""
-
-    MOST = 250_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        out = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = out
-        return out
-
-
-def shingles(text: str | None, known: WordHashes, n: int = 4) -> np.ndarray:
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)  # what a byte weighs
+_BASE = np.uint64(0x9E6C63D0876A9A55)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+#: Bytes that are hashed at a time.
+SPAN = 1 << 20
+
+
+class Powers:
+    """Powers of the base and of its inverse, as far as they are needed."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            steps = np.full(max(n, 2 * len(self.up)), _BASE)
+            steps[0] = 1
+            self.up = np.multiply.accumulate(steps)
+            steps[1:] = _INVERSE
+            self.down = np.multiply.accumulate(steps)
+        return self.up[:n], self.down[:n]
+
+
+def word_hashes(raw: bytes, powers: Powers) -> np.ndarray:
+    """A 64-bit hash of each word between blanks, in order: a polynomial over its bytes, mixed with its length."""
+    b = np.frombuffer(raw, np.uint8)
+    blank = _BLANK[b]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
+    begin, end = edge[::2], edge[1::2]
+    up, down = powers.of(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_LETTERS[b] * up[:-1], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _GOLD)
+
+
+def shingles(text: str | None, powers: Powers, n: int = 4) -> np.ndarray:
     """Sorted hashes of the distinct n-grams of words, A-Z lower-cased; of the whole sequence if it is shorter."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    width = min(n, len(words))
-    out = np.full(len(words) - width + 1, width, np.uint64)
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    parts, at = [], 0
+    while at < len(raw):
+        to = min(len(raw), at + SPAN)
+        while to < len(raw) and not _BLANK[raw[to]]:  # a word stays in one span
+            to += 1
+        parts.append(word_hashes(raw[at:to], powers))
+        at = to
+    h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    if not len(h):
+        return h
+    width = min(n, len(h))
+    out = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
         out = mix(out * _GOLD + h[k : k + len(out)])
     return np.unique(out)
@@ -148,7 +177,7 @@ def _blocks(num: int, den: int, width: int, buckets: int):  # noqa: ANN202
     def run(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        known, scheme = WordHashes(), Scheme(num, den)
+        known, scheme = Powers(), Scheme(num, den)
         turn = np.random.default_rng(7)
 
         def send(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -216,7 +245,7 @@ def _gather(batches):  # noqa: ANN001, ANN202
     def rows(kind: int, *cols, docs=None) -> pa.RecordBatch:  # noqa: ANN001
         n = len(cols[0])
         full = [pa.array(np.asarray(c).astype(np.int64), pa.int64()) for c in cols] + [pa.nulls(n, pa.int64())] * (4 - len(cols))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *full, pa.array(docs, pa.list_(pa.int64())) if docs is not None else pa.nulls(n, pa.list_(pa.int64()))], names=_FOUND.names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *full, (docs if isinstance(docs, pa.Array) else pa.array(docs, pa.list_(pa.int64()))) if docs is not None else pa.nulls(n, pa.list_(pa.int64()))], names=_FOUND.names)
 
     sigs, ids, pairs, flagged = [], [], [], set()
     for batch in batches:
@@ -251,7 +280,10 @@ def _gather(batches):  # noqa: ANN001, ANN202
         big = np.flatnonzero(count > 2)
         for at in range(0, len(big), 5000):
             part = big[at : at + 5000]
-            yield rows(GROUP, s[first[part]].view(np.int64), docs=[d[first[k] : first[k] + count[k]].tolist() for k in part.tolist()])
+            inside = np.zeros(len(first), bool)
+            inside[part] = True
+            ends = np.concatenate([[0], np.cumsum(count[part])]).astype(np.int32)
+            yield rows(GROUP, s[first[part]].view(np.int64), docs=pa.ListArray.from_arrays(pa.array(ends), pa.array(d[np.repeat(inside, count)])))
     if pairs:
         found = _added(pairs)
         for at in range(0, len(found), 50_000):
@@ -261,6 +293,8 @@ def _gather(batches):  # noqa: ANN001, ANN202
 def _added(pairs: list[np.ndarray]) -> np.ndarray:
     """(a, b, how often) for each pair once."""
     rows = np.concatenate(pairs)
+    if not len(rows):
+        return rows
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
     return np.column_stack([rows[first, :2], np.add.reduceat(rows[:, 2], first)])
@@ -270,7 +304,7 @@ def _sets(width: int):  # noqa: ANN202
     def run(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        known = WordHashes()
+        known = Powers()
         for batch in batches:
             sets = [shingles(x, known, width).view(np.int64) for x in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)

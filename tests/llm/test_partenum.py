@@ -112,3 +112,15 @@ def test_odd_rows(odd, none):
     assert sorted(r["n_shingles"] for r in rows if r["doc_id"] is None) == [0, by[1][0]]
     assert all(r["component_id"] is None for r in rows if r["doc_id"] is None)
     assert partenum.near_groups(none).collect() == []
+
+
+def test_word_hashes_by_spans_and_bytes(monkeypatch):
+    powers = partenum.Powers()
+    text = "One TWO\tthree\x0bone  été two. ab ba a b\n" * 7
+    words = text.encode().lower().split()
+    h = partenum.word_hashes(text.lower().encode(), powers)
+    assert len(h) == len(words) and len(set(h.tolist())) == len(set(words)) and all(len({x for w, x in zip(words, h.tolist()) if w == v}) == 1 for v in words)
+    whole = partenum.shingles(text, powers)
+    assert len(whole) == len(word_set(text))
+    monkeypatch.setattr(partenum, "SPAN", 5)
+    assert (partenum.shingles(text, partenum.Powers()) == whole).all()
