@@ -425,6 +425,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", num: int
 
     meta = found.filter(F.col("kind") == META).select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("h1"), F.col("d").alias("h2"))
     first = meta.filter(F.col("n") > 0).groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
+    first = scratch(first)  # written, so that the join has a shuffle on both sides and AQE can split a large group of copies
     meta = scratch(meta.join(first, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     one = meta.filter(F.col("n") > 0)
 

@@ -93,4 +93,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "langid_pages": langid_pages,
 }
 
-SQL: dict[str, str] = {}
+_REACH = """reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a), parts AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+SQL: dict[str, str] = {
+    "op4_embedding_dedup": f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+  fine AS (SELECT id, e FROM nodes WHERE len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+  links AS (SELECT a.id AS a, b.id AS b FROM fine a JOIN fine b ON a.id <> b.id AND list_cosine_similarity(a.e, b.e) >= 0.95), {_REACH}
+  SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM parts LEFT JOIN (SELECT a AS id, count(*) AS n FROM links GROUP BY a) USING (id)""",
+    "op5_jaccard_join": f"""WITH RECURSIVE words AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  nodes AS (SELECT id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+  items AS (SELECT id, len(s) AS n, unnest(s) AS x FROM nodes),
+  pairs AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS m FROM items a JOIN items b ON a.x = b.x AND a.id <> b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
+  links AS (SELECT a, b FROM pairs WHERE 100 * m >= 85 * (na + nb - m)), {_REACH}
+  SELECT nodes.id AS doc_id, len(s)::BIGINT AS n_shingles, component_id FROM nodes JOIN parts USING (id)""",
+}
