@@ -1,8 +1,9 @@
-"""Chunks, vectors and manifest as versioned Parquet tables.
+"""Chunks, vectors and manifest as Parquet tables in immutable segments.
 
-A version is a folder with chunks/, vectors/, manifest/ and, for the graph index, graphs/. It is written whole, and becomes current when
-the pointer file is replaced, in one step. Readers keep what they opened; no path being read is ever overwritten. One writer
-at a time: a lock file guards a change.
+A segment is a folder with chunks/, vectors/ and, for the graph index, graphs/. Indexing adds a segment; removing rewrites only the
+segments that hold what goes; many small segments are merged into one. A version is a list of segments and a manifest. It becomes
+current when the pointer file is replaced, in one step. Readers keep what they opened; no path being read is ever
+overwritten. One writer at a time: a lock file guards a change.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from tesserine.schema import HnswConfig
 from tesserine.sources.files import clean, under
 
 KEY = T.StructField("chunk_idx", T.LongType(), False)
+CHUNKS = T.StructType([KEY, *schema.CHUNK.fields])
+MARKS = T.StructType([*schema.MANIFEST.fields, T.StructField("segment", T.StringType())])
+#: Segments beyond which all are merged.
+MOST_SEGMENTS = 32
 
 
 @dataclass(frozen=True)
@@ -39,6 +44,7 @@ class Snapshot:
     index_type: str
     dims: int
     next_idx: int
+    segments: tuple[str, ...] = ()
 
 
 class Store:
@@ -51,24 +57,24 @@ class Store:
     def _pointer(self) -> str:
         return os.path.join(self.path, "CURRENT")
 
-    def _current(self) -> dict | None:
+    def _current(self) -> dict:
         try:
             with open(self._pointer(), encoding="utf-8") as f:
                 return json.load(f)
         except FileNotFoundError:
-            return None
+            return {"segments": [], "manifest": None, "index_type": self.index_type, "dims": 0, "next_idx": 0}
+
+    def _read(self, kind: T.StructType, *parts: str) -> DataFrame:
+        return self.spark.read.schema(kind).parquet(*(os.path.join(self.path, p) for p in parts)) if parts else self.spark.createDataFrame([], kind)
 
     def snapshot(self) -> Snapshot:
         """The current version; an empty one where nothing was saved."""
-        now, spark = self._current(), self.spark
-        chunks, vectors = T.StructType([KEY, *schema.CHUNK.fields]), schema.VECTOR
-        if now is None:
-            empty = lambda s: spark.createDataFrame([], s)
-            return Snapshot(empty(chunks), empty(vectors), empty(schema.MANIFEST), None, self.index_type, 0, 0)
-        at = os.path.join(self.path, now["version"])
-        read = lambda name, s: spark.read.schema(s).parquet(os.path.join(at, name))
-        graphs = read("graphs", hnsw.GRAPHS) if now["index_type"] == "hnsw" and now["dims"] else None
-        return Snapshot(read("chunks", chunks), read("vectors", vectors), read("manifest", schema.MANIFEST), graphs, now["index_type"], now["dims"], now["next_idx"])
+        now = self._current()
+        names = now["segments"]
+        tables = [self._read(kind, *(f"{n}/{part}" for n in names)) for part, kind in (("chunks", CHUNKS), ("vectors", schema.VECTOR))]
+        graphs = self._read(hnsw.GRAPHS, *(f"{n}/graphs" for n in names)) if now["index_type"] == "hnsw" and names else None
+        manifest = self._read(MARKS, now["manifest"]) if now["manifest"] else self._read(MARKS)
+        return Snapshot(*tables, manifest, graphs, now["index_type"], now["dims"], now["next_idx"], tuple(names))
 
     @contextmanager
     def writing(self) -> Iterator[None]:
@@ -85,39 +91,56 @@ class Store:
             finally:
                 self._depth -= 1
 
-    def save(self, chunks: DataFrame, vectors: DataFrame, manifest: DataFrame, next_idx: int, dims: int) -> Snapshot:
-        """Write a version and make it current. Vectors without a chunk, or chunks without a vector, are an error."""
-        with self.writing():
-            version = f"v-{uuid.uuid4().hex}"
-            at = os.path.join(self.path, version)
-            try:
-                chunks.write.parquet(os.path.join(at, "chunks"))
-                vectors.write.parquet(os.path.join(at, "vectors"))
-                manifest.write.parquet(os.path.join(at, "manifest"))
-                saved = self.spark.read.schema(schema.VECTOR).parquet(os.path.join(at, "vectors"))
-                there = self.spark.read.parquet(os.path.join(at, "chunks")).select("chunk_idx")
-                odd = there.join(saved.select("chunk_idx"), "chunk_idx", "left_anti").limit(1).count()
-                if odd or (dims and saved.filter(F.size("vec") != dims).limit(1).count()):
-                    raise ValueError("chunks without a vector" if odd else f"vectors not of {dims} numbers")
-                n = saved.count()
-                dims = dims if n else 0
-                if self.index_type == "hnsw" and n:
-                    hnsw.build(saved, max(1, -(-n // hnsw.SHARD)), self.config).write.parquet(os.path.join(at, "graphs"))
-            except BaseException:
-                shutil.rmtree(at, ignore_errors=True)
-                raise
-            was = self._current()
-            temporary = f"{self._pointer()}.{uuid.uuid4().hex}"
-            with open(temporary, "w", encoding="utf-8") as f:
-                json.dump({"version": version, "index_type": self.index_type, "dims": dims, "next_idx": next_idx}, f)
-            os.replace(temporary, self._pointer())
-            # The version before the last stays for readers that have it open; older ones go.
-            keep = {version, was["version"] if was else version}
-            for name in os.listdir(self.path):
-                if name.startswith("v-") and name not in keep:
-                    shutil.rmtree(os.path.join(self.path, name), ignore_errors=True)
+    def _segment(self, rows: DataFrame) -> tuple[str, int]:
+        """Write a segment of rows (chunk_idx, chunk columns, vec), and its graphs: its name, and how many rows. Every chunk has a vector of one length."""
+        name = f"s-{uuid.uuid4().hex}"
+        at = os.path.join(self.path, name)
+        try:
+            rows.select(CHUNKS.names).write.parquet(os.path.join(at, "chunks"))
+            rows.select("chunk_idx", "vec").write.parquet(os.path.join(at, "vectors"))
+            saved = self._read(schema.VECTOR, f"{name}/vectors")
+            n = saved.count()
+            if self.index_type == "hnsw":
+                graphs = hnsw.build(saved, max(1, -(-n // hnsw.SHARD)), self.config) if n else self._read(hnsw.GRAPHS)
+                graphs.write.parquet(os.path.join(at, "graphs"))
+        except BaseException:
+            shutil.rmtree(at, ignore_errors=True)
+            raise
+        return name, n
+
+    def _rows(self, *segments: str) -> DataFrame:
+        return self._read(CHUNKS, *(f"{n}/chunks" for n in segments)).join(self._read(schema.VECTOR, *(f"{n}/vectors" for n in segments)), "chunk_idx")
+
+    def _commit(self, segments: Sequence[str], manifest: DataFrame, next_idx: int, dims: int) -> Snapshot:
+        """Make segments and a manifest the current version. What neither it nor the version before needs goes."""
+        was = self._current()
+        name = f"m-{uuid.uuid4().hex}"
+        manifest.select(MARKS.names).write.parquet(os.path.join(self.path, name))
+        now = {"segments": list(segments), "manifest": name, "index_type": self.index_type, "dims": dims if segments else 0, "next_idx": next_idx, "before": [*was["segments"], was["manifest"]]}
+        temporary = f"{self._pointer()}.{uuid.uuid4().hex}"
+        with open(temporary, "w", encoding="utf-8") as f:
+            json.dump(now, f)
+        os.replace(temporary, self._pointer())
+        keep = {*segments, name, *now["before"]}
+        for found in os.listdir(self.path):
+            if found.startswith(("s-", "m-")) and found not in keep:
+                shutil.rmtree(os.path.join(self.path, found), ignore_errors=True)
         return self.snapshot()
 
+    def _without(self, now: Snapshot, paths: DataFrame) -> tuple[list[str], DataFrame]:
+        """Segments and manifest when some paths go: only segments that hold one of them are written again."""
+        paths = paths.select("path").distinct()
+        hit = {r["segment"] for r in now.manifest.join(paths, "path", "left_semi").select("segment").distinct().collect()}
+        gone, moved = paths.select(F.col("path").alias("source")), {}
+        for old in now.segments:
+            if old in hit:
+                name, n = self._segment(self._rows(old).join(gone, "source", "left_anti"))
+                moved[old] = name if n else None
+        left = now.manifest.join(paths, "path", "left_anti")
+        for old, name in moved.items():
+            left = left.withColumn("segment", F.when(F.col("segment") == old, F.lit(name)).otherwise(F.col("segment")))
+        return [n for n in (moved.get(x, x) for x in now.segments) if n], left
+
     def add(self, chunks: DataFrame, marked: DataFrame, replaced: DataFrame | None = None) -> Snapshot:
         """A version with more chunks (with `vec`) and files marked as indexed; what was there of replaced paths goes first."""
         with self.writing():
@@ -129,37 +152,33 @@ class Store:
             try:
                 fresh.write.parquet(at)
                 fresh = self.spark.read.parquet(at)
-                stats = fresh.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d"), F.max("chunk_idx").alias("last")).first()
-                old = self._without(now, replaced) if replaced is not None else now
-                paths = marked.select("path")
-                manifest = old.manifest.join(paths, "path", "left_anti").unionByName(marked.select("path", "modified_ns"))
-                columns = ["chunk_idx", *schema.CHUNK.names]
-                dims = now.dims or stats["d"] or 0
-                if stats["n"] and stats["d"] != dims:
-                    raise ValueError(f"vectors of {stats['d']} numbers in a store of {dims}")
-                return self.save(old.chunks.unionByName(fresh.select(columns)), old.vectors.unionByName(fresh.select("chunk_idx", "vec")), manifest, stats["last"] + 1 if stats["n"] else now.next_idx, dims)
+                stats = fresh.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vec")).alias("low"), F.max(F.size("vec")).alias("high"), F.max("chunk_idx").alias("last")).first()
+                dims = now.dims or stats["high"] or 0
+                if stats["n"] and not stats["low"] == stats["high"] == dims:
+                    raise ValueError(f"vectors of {stats['low']} to {stats['high']} numbers in a store of {dims}")
+                segments, manifest = self._without(now, replaced) if replaced is not None and now.segments else (list(now.segments), now.manifest)
+                name = self._segment(fresh)[0] if stats["n"] else None
+                marks = marked.select("path", "modified_ns").dropDuplicates(["path"])
+                manifest = manifest.join(marks.select("path"), "path", "left_anti").unionByName(marks.withColumn("segment", F.lit(name).cast("string")))
+                segments += [name] if name else []
+                if len(segments) > MOST_SEGMENTS:
+                    whole, _ = self._segment(self._rows(*segments))
+                    segments, manifest = [whole], manifest.withColumn("segment", F.when(F.col("segment").isNotNull(), F.lit(whole)))
+                return self._commit(segments, manifest, stats["last"] + 1 if stats["n"] else now.next_idx, dims)
             finally:
                 shutil.rmtree(at, ignore_errors=True)
 
-    @staticmethod
-    def _without(now: Snapshot, paths: DataFrame) -> Snapshot:
-        """What is left when the chunks and marks of some paths go."""
-        chunks = now.chunks.join(paths.select(F.col("path").alias("source")), "source", "left_anti").select(now.chunks.columns)
-        vectors = now.vectors.join(chunks.select("chunk_idx"), "chunk_idx", "left_semi")
-        return Snapshot(chunks, vectors, now.manifest.join(paths.select("path"), "path", "left_anti"), None, now.index_type, now.dims, now.next_idx)
-
     def _remove(self, wanted: Column) -> tuple[list[str], int]:
         """Drop the files that fulfil a condition on `path`: their names, and how many chunks went."""
         with self.writing():
             now = self.snapshot()
-            known = now.manifest.select("path").unionByName(now.chunks.select(F.col("source").alias("path"))).distinct()
+            known = now.manifest.select("path")
             files = [r["path"] for r in known.filter(wanted).orderBy("path").collect()]
             if not files:
                 return [], 0
             gone = self.spark.createDataFrame([(f,) for f in files], "path string")
-            lost = now.chunks.join(F.broadcast(gone.select(F.col("path").alias("source"))), "source", "left_semi").count()
-            left = self._without(now, gone)
-            self.save(left.chunks, left.vectors, left.manifest, now.next_idx, now.dims)
+            lost = now.chunks.join(gone.select(F.col("path").alias("source")), "source", "left_semi").count()
+            self._commit(*self._without(now, gone), now.next_idx, now.dims)
             return files, lost
 
     def remove(self, target: str) -> tuple[list[str], int]:
@@ -171,8 +190,7 @@ class Store:
 
     def clear(self) -> None:
         with self.writing():
-            none = Store(self.spark, os.path.join(self.path, "none")).snapshot()
-            self.save(none.chunks, none.vectors, none.manifest, self.snapshot().next_idx, 0)
+            self._commit([], self._read(MARKS), self.snapshot().next_idx, 0)
 
     def files(self) -> DataFrame:
         """(path, modified_ns, chunks) by path; files without a chunk count 0."""

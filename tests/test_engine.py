@@ -177,3 +177,25 @@ def test_http(engine, tmp_path):
         assert json.loads(call("/clear", b"")[1]) == {"ok": True} and "<title>" in call("/")[1]
     finally:
         server.shutdown()
+
+
+def test_segments_are_added_rewritten_and_merged(spark, tmp_path, monkeypatch):
+    from tesserine.operators import store
+
+    engine = Engine(spark, str(tmp_path / "store"))
+    text = "The {} text, long enough to make a chunk of its own, and a little more."
+    for n in range(3):
+        engine.index([put(tmp_path / f"{n}.txt", text.format(n))])
+    first = engine.store.snapshot().segments
+    assert len(first) == 3
+    engine.remove(str(tmp_path / "1.txt"))
+    assert engine.store.snapshot().segments == (first[0], first[2])
+    engine.index([put(tmp_path / "0.txt", text.format("changed"), ago=50)])
+    now = engine.store.snapshot().segments
+    assert now[0] == first[2] and len(now) == 2
+    monkeypatch.setattr(store, "MOST_SEGMENTS", 2)
+    engine.index([put(tmp_path / "3.txt", text.format(3))])
+    assert len(engine.store.snapshot().segments) == 1 and engine.status()["files"] == engine.status()["chunks"] == 3
+    found = {s.source.rsplit("/", 1)[1] for s in engine.retrieve("text", 9)}
+    assert found == {"0.txt", "2.txt", "3.txt"}
+    assert engine.remove(str(tmp_path))[1] == 3 and engine.store.snapshot().segments == ()
