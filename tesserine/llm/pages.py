@@ -86,7 +86,9 @@ def scan(source: str) -> Page:
         label = f"{tag}.{' '.join(sorted(DIGITS.sub('0', attrs.get('class', '')).split()))}#{DIGITS.sub('0', attrs.get('id', ''))}"
         role = attrs.get("role", "").lower()
         core = tag in ("html", "body", "article", "main")
-        marked = not core and any(x in MARKS for x in PARTS.split(names))
+        deep = any(page.tag[s] in ("article", "main") for s in stack)
+        marks = PARTS.split(names)
+        marked = not core and (any(x in MARKS for x in marks) or ("header" in marks and not deep))
         unseen = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         page.tag.append(tag)
         page.parent.append(own)
@@ -94,8 +96,8 @@ def scan(source: str) -> Page:
         page.path.append(digest(label, page.path[own] if own >= 0 else 0))
         inside = own >= 0 and page.out[own]
         # A header is one of the page, unless it stands in the article and has its title.
-        heads = tag == "header" and not any(page.tag[s] in ("article", "main") for s in stack)
-        page.out.append(inside or tag in ASIDE or heads or role in ROLES or marked or unseen or (tag == "article" and any(x in ("comment", "comments", "reply", "related") for x in PARTS.split(names))))
+        heads = tag == "header" and not deep
+        page.out.append(inside or tag in ASIDE or heads or role in ROLES or marked or unseen or (tag == "article" and any(x in ("comment", "comments", "reply", "related") for x in marks)))
         page.rank.append(2 if tag == "article" or attrs.get("itemprop", "").lower() == "articlebody" else 1 if tag == "main" or role == "main" else 0)
         page.chars.append(0)
         return len(page.tag) - 1

@@ -21,6 +21,8 @@ def text(source, mains=(), fixed=()):
         ("<body><nav>menu</nav><article><h1>T</h1><p>A<script>x<y</script>B<!-- no --></p><aside>side</aside><div class='comments'>c</div></article><footer>f</footer>", "T\nAB"),
         ("<header>top</header><main><header><h1>Title</h1></header><p>Body text here</p><form>no</form></main>", "Title\nBody text here"),
         ("<div class='sidebar'>s s s s</div><div id='content'><p>Long main text of the page is here.</p><div class='cookie-notice'>accept</div></div><div class='ad'>buy</div>", "Long main text of the page is here."),
+        ("<div class='site-header'>Name of the site</div><article><div class=header><h1>T</h1></div><section id='comments'>no</section><p>x</p><div hidden>no</div></article>", "T\nx"),
+        ("<table><tr><td>a<td>b<tr><td>c</table><dl><dt>d<dd>e</dl>", "a\nb\nc\nd\ne"),
         ("<ul><li>a<li>b<ul><li>c</ul></ul>", "a\nb\nc"),
         ("<article><p>x</article><article class='comment'><p>reader reader reader</article>", "x"),
         ("<p title='a>b'>q</p><p x=\"un", "q"),
