@@ -64,6 +64,7 @@ class Page:
     rank: list[int] = field(default_factory=list)  # 2: article, 1: main
     chars: list[int] = field(default_factory=list)  # of main text below
     depth: list[int] = field(default_factory=list)
+    deep: list[bool] = field(default_factory=list)  # in an article or main element, or one
     texts: list[tuple[int, int, str]] = field(default_factory=list)  # element, block, text
 
 
@@ -86,12 +87,13 @@ def scan(source: str) -> Page:
         label = f"{tag}.{' '.join(sorted(DIGITS.sub('0', attrs.get('class', '')).split()))}#{DIGITS.sub('0', attrs.get('id', ''))}"
         role = attrs.get("role", "").lower()
         core = tag in ("html", "body", "article", "main")
-        deep = any(page.tag[s] in ("article", "main") for s in stack)
+        deep = own >= 0 and page.deep[own]
         marks = PARTS.split(names)
         marked = not core and (any(x in MARKS for x in marks) or ("header" in marks and not deep))
         unseen = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         page.tag.append(tag)
         page.parent.append(own)
+        page.deep.append(deep or tag in ("article", "main"))
         page.depth.append(page.depth[own] + 1 if own >= 0 else 0)
         page.path.append(digest(label, page.path[own] if own >= 0 else 0))
         inside = own >= 0 and page.out[own]
