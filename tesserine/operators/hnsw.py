@@ -5,7 +5,6 @@ A shard is built in one task and kept as one row. Shards have a bounded size, so
 
 from __future__ import annotations
 
-import heapq
 import io
 import math
 
@@ -19,16 +18,23 @@ from tesserine.schema import HnswConfig
 
 #: Vectors in a shard, about.
 SHARD = 10_000
+#: Nodes that a beam opens at a time.
+STEP = 16
 
 
 class Graph:
-    """A hierarchy of neighbour lists over unit vectors; closer means a larger dot product."""
+    """A hierarchy of neighbour lists over unit vectors; closer means a larger dot product.
+
+    The lowest layer is a matrix of neighbours, so that a beam can look at those of several nodes in one step. Upper layers are lists.
+    """
 
     def __init__(self, config: HnswConfig | None = None):
         self.config = config or HnswConfig()
         self.vectors = np.empty((0, 0), np.float32)
         self.keys = np.empty(0, np.int64)
-        self.links: list[list[list[int]]] = []  # node, layer
+        self.base = np.empty((0, 2 * self.config.m), np.int32)
+        self.fill = np.empty(0, np.int32)
+        self.upper: list[list[list[int]]] = []  # node, layer above the lowest
         self.top = -1
         self._seen = np.empty(0, np.int64)
         self._turn = 0
@@ -36,89 +42,101 @@ class Graph:
     @classmethod
     def build(cls, keys: np.ndarray, vectors: np.ndarray, config: HnswConfig | None = None) -> Graph:
         g = cls(config)
+        n = len(keys)
         g.keys, g.vectors = np.asarray(keys, np.int64), np.ascontiguousarray(vectors, np.float32)
-        g._seen = np.zeros(len(keys), np.int64)
-        draws = np.random.default_rng(g.config.seed).random(len(keys))
+        g.base, g.fill, g._seen = np.full((n, 2 * g.config.m), -1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int64)
+        draws = np.random.default_rng(g.config.seed).random(n)
         levels = np.floor(-np.log(np.maximum(draws, 1e-300)) / math.log(g.config.m)).astype(int)
         for node, level in enumerate(levels.tolist()):
             g._insert(node, level)
         return g
 
-    def _far(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
-        return 1.0 - self.vectors[nodes] @ q
+    def _near(self, node: int, layer: int) -> list[int]:
+        return self.upper[node][layer - 1] if layer else self.base[node, : self.fill[node]].tolist()
+
+    def _set(self, node: int, layer: int, near: list[int]) -> None:
+        if layer:
+            self.upper[node][layer - 1] = near
+        else:
+            self.base[node, : len(near)] = near
+            self.fill[node] = len(near)
 
     def _descend(self, q: np.ndarray, layers: range) -> int:
         at = self.top
-        best = float(self._far(q, [at])[0])
+        best = float(self.vectors[at] @ q)
         for layer in layers:
-            while True:
-                near = self.links[at][layer]
-                if not near:
+            while near := self.upper[at][layer - 1]:
+                s = self.vectors[near] @ q
+                k = int(s.argmax())
+                if s[k] <= best:
                     break
-                d = self._far(q, near)
-                k = int(d.argmin())
-                if d[k] >= best:
-                    break
-                at, best = near[k], float(d[k])
+                at, best = near[k], float(s[k])
         return at
 
-    def _beam(self, q: np.ndarray, start: int, width: int, layer: int) -> list[tuple[float, int]]:
-        """The `width` closest nodes reached on a layer, closest first."""
+    def _beam(self, q: np.ndarray, start: int, width: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, nodes): the `width` closest nodes reached on a layer, closest first. Each step opens the closest STEP not yet open."""
         self._turn += 1
         seen, turn = self._seen, self._turn
         seen[start] = turn
-        d = float(self._far(q, [start])[0])
-        todo, best = [(d, start)], [(-d, start)]
-        while todo:
-            d, at = heapq.heappop(todo)
-            if len(best) >= width and d > -best[0][0]:
-                break
-            near = [n for n in self.links[at][layer] if seen[n] != turn]
-            if not near:
+        nodes, far = np.array([start]), 1.0 - self.vectors[[start]] @ q
+        closed = np.ones(1, bool)
+        while True:
+            todo = np.flatnonzero(closed)[:STEP]  # the beam is in order
+            if not len(todo):
+                return far, nodes
+            closed[todo] = False
+            if layer:
+                near = np.array([n for x in nodes[todo].tolist() for n in self.upper[x][layer - 1]], np.int64)
+            else:
+                near = self.base[nodes[todo]].ravel()
+                near = near[near >= 0]
+            near = near[seen[near] != turn]
+            if not len(near):
                 continue
             seen[near] = turn
-            for far, n in zip(self._far(q, near).tolist(), near):
-                if len(best) < width:
-                    heapq.heappush(best, (-far, n))
-                elif far < -best[0][0]:
-                    heapq.heapreplace(best, (-far, n))
-                else:
-                    continue
-                heapq.heappush(todo, (far, n))
-        return sorted((-d, n) for d, n in best)
-
-    def _diverse(self, found: list[tuple[float, int]], most: int) -> list[int]:
+            near = np.unique(near)
+            d = 1.0 - self.vectors[near] @ q
+            if len(nodes) >= width:
+                better = d < far[-1]
+                near, d = near[better], d[better]
+            far, nodes, closed = np.concatenate([far, d]), np.concatenate([nodes, near]), np.concatenate([closed, np.ones(len(near), bool)])
+            order = np.argsort(far, kind="stable")[:width]
+            far, nodes, closed = far[order], nodes[order], closed[order]
+
+    def _diverse(self, far: np.ndarray, nodes: np.ndarray, most: int) -> list[int]:
         """Nodes closer to the centre than to any taken before, then the closest of the rest."""
-        nodes = [n for _, n in found]
-        between = 1.0 - self.vectors[nodes] @ self.vectors[nodes].T
+        own = self.vectors[nodes]
+        nearest = np.full(len(nodes), np.inf)  # to what is taken
         taken: list[int] = []
-        for k, (d, _) in enumerate(found):
+        for k in range(len(nodes)):
             if len(taken) >= most:
                 break
-            if not taken or between[k, taken].min() >= d:
+            if nearest[k] >= far[k]:
                 taken.append(k)
-        own = set(taken)
-        taken += [k for k in range(len(nodes)) if k not in own][: most - len(taken)]
-        return [nodes[k] for k in taken]
+                nearest = np.minimum(nearest, 1.0 - own @ own[k])
+        rest = set(taken)
+        taken += [k for k in range(len(nodes)) if k not in rest][: most - len(taken)]
+        return nodes[taken].tolist()
 
     def _insert(self, node: int, level: int) -> None:
-        self.links.append([[] for _ in range(level + 1)])
+        self.upper.append([[] for _ in range(level)])
         if self.top < 0:
             self.top = node
             return
-        q, highest = self.vectors[node], len(self.links[self.top]) - 1
+        q, highest = self.vectors[node], len(self.upper[self.top])
         at = self._descend(q, range(highest, level, -1))
         for layer in range(min(level, highest), -1, -1):
-            found = self._beam(q, at, self.config.ef_construction, layer)
-            at = found[0][1]
-            room = self.config.m * (2 if layer == 0 else 1)
-            self.links[node][layer] = self._diverse(found, self.config.m)
-            for other in self.links[node][layer]:
-                back = self.links[other][layer]
-                back.append(node)
+            far, nodes = self._beam(q, at, self.config.ef_construction, layer)
+            at = int(nodes[0])
+            room = self.config.m * (1 if layer else 2)
+            chosen = self._diverse(far, nodes, self.config.m)
+            self._set(node, layer, chosen)
+            for other in chosen:
+                back = [*self._near(other, layer), node]
                 if len(back) > room:
-                    d = self._far(self.vectors[other], back)
-                    self.links[other][layer] = [back[i] for i in np.argsort(d, kind="stable")[:room]]
+                    s = self.vectors[back] @ self.vectors[other]
+                    back = [back[i] for i in np.argsort(-s, kind="stable")[:room].tolist()]
+                self._set(other, layer, back)
         if level > highest:
             self.top = node
 
@@ -129,16 +147,18 @@ class Graph:
         q = np.asarray(q, np.float32)
         if len(q) != self.vectors.shape[1]:
             raise ValueError(f"query of {len(q)} numbers, index of {self.vectors.shape[1]}")
-        at = self._descend(q, range(len(self.links[self.top]) - 1, 0, -1))
-        found = self._beam(q, at, max(self.config.ef_search, k), 0)
-        return sorted(((int(self.keys[n]), 1.0 - d) for d, n in found), key=lambda x: (-x[1], x[0]))[:k]
+        at = self._descend(q, range(len(self.upper[self.top]), 0, -1))
+        far, nodes = self._beam(q, at, max(self.config.ef_search, k), 0)
+        keys, scores = self.keys[nodes], (1.0 - far).astype(np.float64)
+        order = np.lexsort((keys, -scores))[:k]
+        return list(zip(keys[order].tolist(), scores[order].tolist()))
 
     def dump(self) -> bytes:
-        flat = [n for layers in self.links for layer in layers for n in layer]
+        flat = [n for layers in self.upper for layer in layers for n in layer]
         out = io.BytesIO()
         np.savez(
-            out, vectors=self.vectors, keys=self.keys, flat=np.array(flat, np.int32), sizes=np.array([len(x) for layers in self.links for x in layers], np.int32),
-            layers=np.array([len(x) for x in self.links], np.int32), head=np.array([self.top, self.config.m, self.config.ef_construction, self.config.ef_search, self.config.seed]),
+            out, vectors=self.vectors, keys=self.keys, base=self.base, fill=self.fill, flat=np.array(flat, np.int32), sizes=np.array([len(x) for layers in self.upper for x in layers], np.int32),
+            layers=np.array([len(x) for x in self.upper], np.int32), head=np.array([self.top, self.config.m, self.config.ef_construction, self.config.ef_search, self.config.seed]),
         )
         return out.getvalue()
 
@@ -147,11 +167,11 @@ class Graph:
         with np.load(io.BytesIO(raw)) as z:
             head = z["head"].tolist()
             g = cls(HnswConfig(*head[1:]))
-            g.vectors, g.keys, g.top = z["vectors"], z["keys"], head[0]
+            g.vectors, g.keys, g.base, g.fill, g.top = z["vectors"], z["keys"], z["base"], z["fill"], head[0]
             ends, flat, at = np.cumsum(z["sizes"]).tolist(), z["flat"].tolist(), 0
             spans = [flat[b:e] for b, e in zip([0, *ends], ends)]
             for n in z["layers"].tolist():
-                g.links.append(spans[at : at + n])
+                g.upper.append(spans[at : at + n])
                 at += n
         g._seen = np.zeros(len(g.keys), np.int64)
         return g
