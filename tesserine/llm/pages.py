@@ -229,7 +229,7 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     sums = found.groupBy("host", "kind", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "chars")], F.bit_xor("sign").alias("sign"), *[F.max(c).alias(c) for c in ("parent", "rank", "depth")])
     sums = sums.filter((F.col("kind") == PAGE) | (F.col("pages") >= 2))
     sums = scratch(sums)
-    many = sums.filter(F.col("kind") == PAGE).select(F.col("host").alias("_host"), F.col("pages").alias("all"))
+    many = scratch(sums.filter(F.col("kind") == PAGE).select(F.col("host").alias("_host"), F.col("pages").alias("all")))
     often = sums.filter(F.col("kind") != PAGE).join(many, F.col("host") == F.col("_host")).filter((F.col("all") >= 3) & (F.col("pages") >= OFTEN * F.col("all")))
     fixed = often.filter(F.col("kind") == TEXT).groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("fixed"))
     # Valid: once on each page that has it, inside an element of which the same holds, or at the top.
