@@ -63,3 +63,23 @@ def test_ties_and_edges_of_k(spark):
     with pytest.raises(ValueError):
         search.top_k(df, [1.0, 0.0], -1)
     assert search.batch_top_k(df, df.limit(0).select("chunk_idx", "vec").withColumnRenamed("chunk_idx", "q"), 2, "chunk_idx", "q").collect() == []
+
+
+@pytest.mark.parametrize("kind", ["FlatIndex", "GraphIndex"])
+def test_index_adds_searches_saves_and_loads(spark, tmp_path, kind):
+    from tesserine.operators import index
+
+    cls = getattr(index, kind)
+    x = vectors(100, 32, 3)
+    rows = spark.createDataFrame([(f"v{i}", v.tolist(), 2 * i) for i, v in enumerate(x)], index.ENTRY)
+    made = cls(spark).add(rows.filter("chunk_idx < 100")).add(rows.filter("chunk_idx >= 100"))
+    hits = made.search(x[40].tolist(), 3).collect()
+    assert len(made) == 100 and (hits[0]["id"], hits[0]["chunk_idx"]) == ("v40", 80) and abs(hits[0]["score"] - 1) < 1e-4 and len(hits) == 3
+    made.save(str(tmp_path / "i"))
+    back = cls.load(spark, str(tmp_path / "i"))
+    assert [tuple(r) for r in back.search(x[40].tolist(), 3).collect()] == [tuple(r) for r in hits] and back.entries().count() == 100
+    with pytest.raises(ValueError):
+        back.add(spark.createDataFrame([("w", [1.0], 1)], index.ENTRY))
+    with pytest.raises(ValueError):
+        back.search([1.0], 1)
+    assert cls(spark).search([1.0], 2).collect() == []
