@@ -208,4 +208,39 @@ def buckets(df: DataFrame, key: str, words: Column, dims: int = 256) -> DataFram
     return counts.join(size, key).select(key, "bucket", (F.col("n") / F.col("size")).alias("w"))
 
 
+class Buckets(dict):
+    """Buckets by word, a bounded number of words at a time."""
+
+    MOST = 200_000
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __missing__(self, word: str) -> int:
+        h = 2166136261
+        for b in word.encode("utf-8", "surrogatepass"):
+            h = ((h ^ b) * 16777619) & 0xFFFFFFFF
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = h % self.dims
+        return self[word]
+
+
+def bags(df: DataFrame, key: str, text: str = "text", dims: int = 256) -> DataFrame:
+    """(key, bucket, w): the same in one pass over the texts, without a shuffle of their words."""
+    import pyarrow as pa
+
+    def run(batches) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        known = Buckets(dims)
+        for batch in batches:
+            own = [np.unique(np.fromiter(map(known.__getitem__, (t or "").lower().split()), np.int64), return_counts=True) for t in batch.column(1).to_pylist()]
+            sizes = [len(b) for b, _ in own]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(own)), sizes)))
+            weights = [n / np.sqrt((n.astype(np.float64) ** 2).sum()) for _, n in own]
+            join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(join([b for b, _ in own], np.int64)), pa.array(join(weights, np.float64))], names=[key, "bucket", "w"])
+
+    return df.select(key, text).mapInArrow(run, T.StructType([df.schema[key], T.StructField("bucket", T.LongType()), T.StructField("w", T.DoubleType())]))
+
+
 EmbedFunction = Callable[[Sequence[str]], list[list[float]]]

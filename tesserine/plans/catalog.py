@@ -122,8 +122,8 @@ def bow_token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
   d AS ({_BAG.format(key='doc_id', table='documents', words='words')}), q AS ({_BAG.format(key='item_id', table='benchmark', words='words')})
   SELECT doc_id, round(sum(d.w * q.w), 6) AS score FROM d JOIN q USING (bucket) WHERE item_id = 0 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
 def bow_topk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = embedding.buckets(table(spark, sf_dir, "documents"), "doc_id", tx.words(F.col("text")))
-    item = embedding.buckets(table(spark, sf_dir, "benchmark").filter("item_id = 0"), "item_id", tx.words(F.col("text"))).select("bucket", F.col("w").alias("q"))
+    docs = embedding.bags(table(spark, sf_dir, "documents"), "doc_id")
+    item = embedding.bags(table(spark, sf_dir, "benchmark").filter("item_id = 0"), "item_id").select("bucket", F.col("w").alias("q"))
     return search.sparse_top_k(docs, item, 10, "doc_id")
 
 

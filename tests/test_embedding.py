@@ -60,6 +60,8 @@ def test_udf_and_native_bags_agree(spark):
     dense = {r["id"]: r["vec"] for r in em.embed(df, em.BagOfWords(64)).collect()}
     sparse = em.buckets(df, "id", tx.words(tx.trim(df["text"])), 64).collect()
     assert {r["bucket"]: round(r["w"], 6) for r in sparse if r["id"] == 1} == {k: round(v, 6) for k, v in enumerate(dense[1]) if v}
+    bags = em.bags(df, "id", "text", 64).collect()
+    assert sorted((r["bucket"], round(r["w"], 9)) for r in bags) == sorted((r["bucket"], round(r["w"], 9)) for r in sparse)
     assert not any(dense[2]) and not any(dense[3]) and math.isclose(np.linalg.norm(dense[1]), 1, rel_tol=1e-6)
 
 
