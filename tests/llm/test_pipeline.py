@@ -40,3 +40,11 @@ def test_an_empty_table_passes_through(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         now = spark.createDataFrame((out := stage(spark, now, SF)).collect(), out.schema)
         assert now.isEmpty()
+
+
+def test_near_copies_are_those_of_five_words_and_four_fifths(spark, docs):
+    words = [f"w{i}" for i in range(49)]
+    near = ["new" if i == 24 else w for i, w in enumerate(words)]  # 40 of 50 shingles of five words; 42 of 50 of four
+    far = ["new" if i in (12, 36) else w for i, w in enumerate(words)]
+    rows = [(i, " ".join(x), "en", "src1", 1) for i, x in enumerate((words, near, far))]
+    assert [r["doc_id"] for r in corpus_pipeline.jaccard_join(spark, spark.createDataFrame(rows, docs.schema), SF).orderBy("doc_id").collect()] == [0, 2]
