@@ -2,7 +2,7 @@
 
 log P(language | all) = log P(text | language) + log P(declared | language) + log P(suffix | language) + log P(language | host)
 
-Text: naive Bayes over hashed byte trigrams of the whole lower-cased text, fitted on a bounded sample of labelled rows; the
+Text: naive Bayes over hashed byte trigrams of the whole lower-cased text, fitted on a bounded sample of each label's rows; the
 sum counts as at most STRENGTH trigrams, since neighbours are not independent. Declared language and address
 suffix: how often each value comes with each language the texts alone show, by grouped aggregation over all rows. Host: counts
 of the same kind, smoothed towards the host's domain and that towards the whole.
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tesserine.llm.common import Scratch, arrow_limits, text_of
 
-#: Labelled rows that the text model is fitted on, about; a share of all, chosen by a hash of the key.
+#: Rows of each label that the text model is fitted on, at least, where there are so many, and about twice that at most; chosen by a hash of the key.
 SAMPLE = 4000
 BITS = 15
 STRENGTH, KAPPA, MOST = 60.0, 20.0, 0.5
@@ -55,14 +55,17 @@ def grams(text: str | None) -> np.ndarray:
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
-    """The text model from about `sample` labelled rows; those rows' whole texts. Without any labelled row there is no language."""
+    """The text model from about `sample` rows of each label, or all if there are fewer; those rows' whole texts. So every label
+    that has a text of a trigram is a language, however rare it is. Without any labelled row there is no language."""
     import pyarrow as pa
 
     spark = df.sparkSession
     arrow_limits(spark)
-    known = df.filter(F.col(label).isNotNull())
-    every = max(1, known.count() // sample)
-    chosen = known.filter(F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(every)) == 0).select(F.col(label).cast("string").alias("l"), F.col(text).cast("string").alias("t"))
+    known = df.select(F.col(label).cast("string").alias("l"), F.col(text).cast("string").alias("t"), F.xxhash64(F.col(key), F.lit(5)).alias("h"))
+    known = known.filter(F.col("l").isNotNull() & (F.octet_length("t") >= 3))
+    # The row of the lowest hash is always in: what the share of a label leaves is never nothing.
+    share = known.groupBy("l").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / sample)).alias("every"), F.min("h").alias("low"))
+    chosen = known.join(F.broadcast(share.withColumnRenamed("l", "_l")), F.col("l") == F.col("_l")).filter((F.pmod("h", "every") == 0) | (F.col("h") == F.col("low"))).select("l", "t")
 
     def count(batches):  # noqa: ANN001, ANN202
         sums: dict[str, np.ndarray] = {}

@@ -47,3 +47,13 @@ def test_odd_rows(odd, none, docs):
     assert langid.identify(none, model, declared=none["lang"], host=none["source"]).collect() == []
     blank = langid.fit(none)
     assert blank.languages == () and {r["language"] for r in langid.identify(odd, blank).collect()} == {"und"}
+
+
+def test_a_rare_language_is_in_the_model(spark):
+    many = [(i, f"the quick brown fox {i} jumps over the lazy dog", "en") for i in range(4000)]
+    rare = [(10**6 + i, "βραδιάζει και ο ουρανός είναι κόκκινος πάνω από τη θάλασσα", "el") for i in range(6)]
+    df = spark.createDataFrame(many + rare, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample=50)
+    assert model.languages == ("el", "en")
+    rows = langid.identify(df.filter("lang = 'el'"), model).collect()
+    assert len(rows) == 6 and all(r["kept"] and r["language"] == "el" for r in rows)
