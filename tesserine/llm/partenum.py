@@ -9,7 +9,8 @@ than `spare` are that thin, so a signature that is not empty is still shared for
 
 Signatures travel as packed blocks sorted by hash. Sets with one signature are paired with the smallest of
 them, not with each other. Where that leaves a signature in several components, its sets are joined by prefix filter, so
-no link is lost that could join two components. A signature that is frequent within one task is cut into chunks that go to other tasks; only the chunk's smallest goes on.
+no link is lost that could join two components. A signature that is frequent within one task is cut into chunks that go to other tasks; only the chunk's smallest goes on,
+marked as a HEAD, so that whatever else has the signature joins the chunk's group.
 Tests compare the sets whole. Equal sets stand for one another throughout.
 """
 
@@ -31,7 +32,7 @@ HELD, HOT = 600_000, 64
 TASK_BYTES = 16 << 20
 SPLITS = 16
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-META, TEST, GROUP = 0, 1, 2
+META, TEST, GROUP, HEAD = 0, 1, 2, 3
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -172,7 +173,7 @@ _FOUND = T.StructType([T.StructField("kind", T.IntegerType()), *[T.StructField(c
 
 
 def _blocks(num: int, den: int, width: int, buckets: int):  # noqa: ANN202
-    """The task that reads texts and sends sets' hashes (META), hot chunks (GROUP) and signatures (TEST)."""
+    """The task that reads texts and sends sets' hashes (META), hot chunks (GROUP), their smallest (HEAD) and other signatures (TEST)."""
 
     def run(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
@@ -191,19 +192,20 @@ def _blocks(num: int, den: int, width: int, buckets: int):  # noqa: ANN202
             count = np.diff(np.concatenate([first, [len(sigs)]]))
             hot = np.flatnonzero(count > HOT)
             keep = np.ones(len(sigs), bool)
+            heads = sigs[first[hot]], ids[first[hot]]
             for h in hot.tolist():
                 at, to = int(first[h]), int(first[h] + count[h])
-                keep[at + 1 : to] = False
+                keep[at:to] = False
                 rows.append((int(turn.integers(buckets)), GROUP, to - at, sigs[at : at + 1].tobytes() + pack(ids[at:to])))
                 if len(rows) >= 200:
                     yield send(rows)
                     rows = []
-            sigs, ids = sigs[keep], ids[keep]
-            cut = np.append(np.searchsorted(sigs, _edges(buckets)), len(sigs))
-            for b in range(buckets):
-                at, to = int(cut[b]), int(cut[b + 1])
-                if to > at:
-                    rows.append((b, TEST, to - at, sigs[at:to].tobytes() + pack(ids[at:to])))
+            for kind, (sigs, ids) in ((HEAD, heads), (TEST, (sigs[keep], ids[keep]))):
+                cut = np.append(np.searchsorted(sigs, _edges(buckets)), len(sigs))
+                for b in range(buckets):
+                    at, to = int(cut[b]), int(cut[b + 1])
+                    if to > at:
+                        rows.append((b, kind, to - at, sigs[at:to].tobytes() + pack(ids[at:to])))
             if rows:
                 yield send(rows)
 
@@ -247,7 +249,7 @@ def _gather(batches):  # noqa: ANN001, ANN202
         full = [pa.array(np.asarray(c).astype(np.int64), pa.int64()) for c in cols] + [pa.nulls(n, pa.int64())] * (4 - len(cols))
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *full, (docs if isinstance(docs, pa.Array) else pa.array(docs, pa.list_(pa.int64()))) if docs is not None else pa.nulls(n, pa.list_(pa.int64()))], names=_FOUND.names)
 
-    sigs, ids, pairs, flagged = [], [], [], set()
+    sigs, ids, pairs, heads = [], [], [], []
     for batch in batches:
         for kind, n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             if kind == META:
@@ -261,6 +263,8 @@ def _gather(batches):  # noqa: ANN001, ANN202
             else:
                 sigs.append(np.frombuffer(data, np.uint64, n))
                 ids.append(unpack(data[8 * n :], n))
+                if kind == HEAD:
+                    heads.append(sigs[-1])
         if len(pairs) > 512:
             pairs = [_added(pairs)]
     if sigs:
@@ -277,7 +281,7 @@ def _gather(batches):  # noqa: ANN001, ANN202
         later = np.repeat(many, count)
         later[first] = False
         pairs.append(np.stack([pivot[later], d[later], np.ones(later.sum(), np.int64)], axis=1))
-        big = np.flatnonzero(count > 2)
+        big = np.flatnonzero((count > 2) | (many & np.isin(s[first], np.concatenate(heads)) if heads else False))  # one document beside a chunk is of its group
         for at in range(0, len(big), 5000):
             part = big[at : at + 5000]
             inside = np.zeros(len(first), bool)

@@ -72,6 +72,19 @@ def test_near_copies_around_the_threshold(spark, monkeypatch):
     assert run(spark, rows) == want
 
 
+def test_one_document_beside_a_hot_chunk(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "HOT", 8)
+    words = [f"w{i}" for i in range(151)]
+    put = lambda *at: " ".join(f"new{at[0]}" if i in at else w for i, w in enumerate(words))
+    spots = [i for i in range(151) if all(abs(i - x) > 4 for x in (20, 70, 120))]
+    chunk = [(k, put(spots[k])) for k in range(90)] + [(90, " ".join(words))]
+    alone = [(91, put(20, 70, 120))]  # 0.85 with 90 and less with all others
+    want = brute(chunk + alone)
+    assert {c for _, _, c in want} == {0} and {c for i, _, c in brute(chunk[:-1] + alone) if i == 91} == {91}
+    parts = [spark.createDataFrame(x, "doc_id long, text string").coalesce(1) for x in (chunk, alone)]
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in partenum.near_groups(parts[0].unionByName(parts[1])).collect()) == want
+
+
 def test_chains_across_components(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(120)]
