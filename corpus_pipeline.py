@@ -27,9 +27,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by 80 % of five-word shingles: the one with the smallest id."""
+    """One document of each group of near duplicates, by 80 % of five-word shingles: the one with the smallest id.
+    Rows with a null key link with nothing and stay."""
     first = partenum.near_groups(docs, num=80, den=100, width=5).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi").select(COLUMNS)
+    kept = docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi")
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

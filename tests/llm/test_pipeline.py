@@ -48,3 +48,8 @@ def test_near_copies_are_those_of_five_words_and_four_fifths(spark, docs):
     far = ["new" if i in (12, 36) else w for i, w in enumerate(words)]
     rows = [(i, " ".join(x), "en", "src1", 1) for i, x in enumerate((words, near, far))]
     assert [r["doc_id"] for r in corpus_pipeline.jaccard_join(spark, spark.createDataFrame(rows, docs.schema), SF).orderBy("doc_id").collect()] == [0, 2]
+
+
+def test_rows_without_a_key_stay_beside_near_copies(spark, odd):
+    rows = corpus_pipeline.jaccard_join(spark, odd.select(*corpus_pipeline.COLUMNS), SF).collect()
+    assert sum(r["doc_id"] is None for r in rows) == 2 and {r["doc_id"] for r in rows} >= {1, 3, 4, 5} and 2 not in {r["doc_id"] for r in rows}
