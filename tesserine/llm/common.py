@@ -27,14 +27,29 @@ def arrow_limits(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and there is one machine
+    only, as in tests. On a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "tesserine-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def settle() -> None:
+    """Give back the memory that a Python worker no longer needs; workers stay for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Scratch:
     """Written tables that cut lineage. Each survives the loss of any executor; drop() removes one that no plan needs any more."""
 

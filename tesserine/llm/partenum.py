@@ -4,8 +4,9 @@ A document is the set of its distinct word n-grams. Sizes fall into bands so tha
 or neighbouring bands; within a tag (a band and the next) similar sets differ in at most k elements. The feature domain
 is hashed into n1 parts of three pieces each. With n1 = k//2 + 1 + spare, at least 1 + spare parts hold at most one
 difference, and there two of the three pieces agree: of the three signatures that part gives, one for each
-pair of pieces, similar sets share one. A signature of two empty pieces says nothing; it is left out unless more parts
-than `spare` are that thin, so a signature that is not empty is still shared for certain.
+pair of pieces, similar sets share one. A signature of one item or none says little: thin ones are left out unless more
+parts than `spare` have one. Of the 1 + spare parts one then has none in either set that leaves them out, and what is shared of
+it is thick in both, so that similar sets still share a signature for certain. In small sets thin means empty.
 
 Signatures travel as packed blocks sorted by hash. Sets with one signature are paired with the smallest of
 them, not with each other. Where that leaves a signature in several components, its sets are joined by prefix filter, so
@@ -16,6 +17,7 @@ Tests compare the sets whole. Equal sets stand for one another throughout.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserine.llm.common import Scratch, arrow_limits
+from tesserine.llm.common import Scratch, arrow_limits, settle
 from tesserine.llm.components import components
 
 #: Signatures that a task holds before it sends them on; copies of one signature therein beyond which they are a chunk of their own.
-HELD, HOT = 600_000, 64
+HELD, HOT = 300_000, 64
+#: Items whose signatures are computed at a time, unless one set has more; pairs that a gathering task holds before it sends them on.
+ITEMS, PAIRS = 1 << 18, 1 << 19
+#: Cells of a set's sketch at most; sets of one signature that are compared by sketch in one go. Larger groups take the prefix filter.
+CELLS, FEW = 4096, 32
 #: Text bytes for each task that gathers signatures.
 TASK_BYTES = 16 << 20
 SPLITS = 16
@@ -48,7 +54,7 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 #: Bytes that are hashed at a time.
-SPAN = 1 << 20
+SPAN = 1 << 18
 
 
 class Powers:
@@ -99,12 +105,19 @@ def shingles(text: str | None, powers: Powers, n: int = 4) -> np.ndarray:
     return np.unique(out)
 
 
+def weak_share(items: float) -> float:
+    """How often two of three pieces hold one item or none, of pieces with so many items on average."""
+    none, one = math.exp(-items), items * math.exp(-items)
+    return 3 * none * none * (1 - none) + none**3 + 3 * none * ((1 - none) ** 2 - (1 - none - one) ** 2)
+
+
 class Scheme:
     """Bands and parts for a similarity of num/den."""
 
     def __init__(self, num: int = 85, den: int = 100):
         self.num, self.den = num, den
         self.low, self.high = [0], [0]
+        self.shapes: dict[int, tuple[int, int, int]] = {}
 
     def band(self, sizes: np.ndarray) -> np.ndarray:
         while self.high[-1] < (int(sizes.max()) if len(sizes) else 0):
@@ -112,19 +125,30 @@ class Scheme:
             self.high.append(max(self.low[-1], self.low[-1] * self.den // self.num))
         return np.searchsorted(np.array(self.high), sizes)
 
-    def parts(self, tag: int) -> tuple[int, int]:
-        """n1 and spare of a tag; n1 is 0 where only equal sets are similar."""
-        a = self.high[tag]
-        b = a * self.den // self.num
-        k = (self.den - self.num) * (a + b) // (self.den + self.num)
-        if not k:
-            return 0, 0
-        base = k // 2 + 1
-        spare = 0 if base <= 2 else 1 if base <= 12 else 2
-        return base + spare, spare
+    def parts(self, tag: int) -> tuple[int, int, int]:
+        """n1, spare and least of a tag; n1 is 0 where only equal sets are similar. Signatures of fewer items than `least` are thin."""
+        if tag not in self.shapes:
+            a = self.high[tag]
+            b = a * self.den // self.num
+            k = (self.den - self.num) * (a + b) // (self.den + self.num)
+            base = k // 2 + 1
+            shape = (base + (0 if base <= 2 else 1 if base <= 12 else 2), 0 if base <= 2 else 1 if base <= 12 else 2, 1)
+            for spare in range(2, base // 4 + 1):  # enough spare parts for the weak ones that chance makes
+                weak = (base + spare) * weak_share(self.low[tag] / (3 * (base + spare)))
+                if spare >= weak + 2.3 * math.sqrt(weak):
+                    shape = (base + spare, spare, 2)
+                    break
+            self.shapes[tag] = shape if k else (0, 0, 1)
+        return self.shapes[tag]
 
     def signatures(self, sets: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, id) for sets that are not empty."""
+        """(signature, id) for sets that are not empty, a bounded number of items at a time."""
+        part = np.cumsum([len(x) for x in sets]) // ITEMS
+        cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sets)]
+        found = [self._signatures(sets[a:b], ids[a:b]) for a, b in zip(cut, cut[1:])]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _signatures(self, sets: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(x) for x in sets])
         bands, all_sigs, all_ids = self.band(sizes), [], []
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
@@ -132,8 +156,7 @@ class Scheme:
         for step in (0, 1):
             tags = bands - step
             shape = {t: self.parts(t) for t in set(tags.tolist()) if t > 0}
-            n1 = np.array([shape.get(t, (0, 0))[0] for t in tags.tolist()], np.int64)
-            spare = np.array([shape.get(t, (0, 0))[1] for t in tags.tolist()], np.int64)
+            n1, spare, least = np.array([shape.get(t, (0, 0, 1)) for t in tags.tolist()], np.int64).reshape(-1, 3).T
             begin = np.concatenate([[0], np.cumsum(n1)])
             own = np.repeat(np.arange(len(sets)), sizes)
             live = n1[own] > 0
@@ -141,18 +164,18 @@ class Scheme:
             f, g = flat[live], word[live]
             part = begin[doc] + ((f >> np.uint64(33)) % n1[doc].astype(np.uint64)).astype(np.int64)
             piece = part * 3 + (g % np.uint64(3)).astype(np.int64)
-            sums, seen = np.zeros(begin[-1] * 3, np.uint64), np.zeros(begin[-1] * 3, bool)
+            sums = np.zeros(begin[-1] * 3, np.uint64)
             np.add.at(sums, piece, g)
-            seen[piece] = True
-            sums, seen = mix(sums).reshape(-1, 3), seen.reshape(-1, 3)
+            held = np.bincount(piece, minlength=begin[-1] * 3).reshape(-1, 3)
+            sums = mix(sums).reshape(-1, 3)
             of = np.repeat(np.arange(len(sets)), n1)
             index = np.arange(begin[-1]) - begin[of]
-            thin = (seen.sum(axis=1) <= 1).astype(np.int64)
-            thin_parts = np.bincount(of, thin, minlength=len(sets)).astype(np.int64)
-            tight = (thin_parts > spare)[of]
+            fewest = held.sum(axis=1) - held.max(axis=1)  # of the part's three signatures, the thinnest one's items
+            weak_parts = np.bincount(of, fewest < least[of], minlength=len(sets)).astype(np.int64)
+            tight = (weak_parts > spare)[of]
             head = mix(tags[of].astype(np.uint64) * np.uint64(1_000_003) + index.astype(np.uint64))
             for x, (y, z) in enumerate(((1, 2), (0, 2), (0, 1))):
-                keep = seen[:, y] | seen[:, z] | tight
+                keep = (held[:, y] + held[:, z] >= least[of]) | tight
                 sig = mix(mix(head + np.uint64(x) + sums[:, y]) + sums[:, z])
                 all_sigs.append(sig[keep])
                 all_ids.append(ids[of[keep]])
@@ -169,7 +192,7 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 
 _BLOCK = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("data", T.BinaryType())])
-_FOUND = T.StructType([T.StructField("kind", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in "abcd"], T.StructField("docs", T.ArrayType(T.LongType()))])
+_FOUND = T.StructType([T.StructField("kind", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in "abcd"], T.StructField("docs", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
 
 def _blocks(num: int, den: int, width: int, buckets: int):  # noqa: ANN202
@@ -201,11 +224,13 @@ def _blocks(num: int, den: int, width: int, buckets: int):  # noqa: ANN202
                     yield send(rows)
                     rows = []
             for kind, (sigs, ids) in ((HEAD, heads), (TEST, (sigs[keep], ids[keep]))):
-                cut = np.append(np.searchsorted(sigs, _edges(buckets)), len(sigs))
-                for b in range(buckets):
-                    at, to = int(cut[b]), int(cut[b + 1])
-                    if to > at:
-                        rows.append((b, kind, to - at, sigs[at:to].tobytes() + pack(ids[at:to])))
+                own = _bucket(sigs, buckets)
+                cut = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(sigs)] if len(sigs) else []
+                for at, to in zip(cut, cut[1:]):
+                    rows.append((int(own[at]), kind, to - at, sigs[at:to].tobytes() + pack(ids[at:to])))
+                    if len(rows) >= 2000:
+                        yield send(rows)
+                        rows = []
             if rows:
                 yield send(rows)
 
@@ -213,10 +238,18 @@ def _blocks(num: int, den: int, width: int, buckets: int):  # noqa: ANN202
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
             sets = [shingles(x, known, width) for x in batch.column(1).to_pylist()]
-            rows = [(int(turn.integers(buckets)), META, len(part), b"".join([pack(np.array([x if x is not None else 0 for x in ids[part]], np.int64)), np.array([len(sets[i]) for i in part], np.int64).tobytes(), np.array([set_hash(sets[i], 1) for i in part], np.uint64).tobytes(), np.array([set_hash(sets[i], 2) for i in part], np.uint64).tobytes()])) for part in np.array_split(np.arange(len(ids)), max(1, len(ids) // 128)) if len(part)]
+            rows = []
+            for part in np.array_split(np.arange(len(ids)), max(1, len(ids) // 128)):
+                own, full = np.array(ids[part], np.int64), [sets[i] for i in part]
+                marks = [np.array([set_hash(x, seed) for x in full], np.uint64) for seed in (1, 2)]
+                drawn = [sketch(x) for x in full]
+                sizes = np.array([len(x) for x in full], np.int64)
+                if len(part):
+                    to = int(turn.integers(buckets))
+                    rows.append((to, META, len(part), b"".join([pack(own), sizes.tobytes(), *(x.tobytes() for x in marks), np.cumsum([len(x) for x in drawn]).astype(np.int64).tobytes(), *drawn])))
             if rows:
                 yield send(rows)
-            some = [i for i in range(len(ids)) if len(sets[i]) and ids[i] is not None]
+            some = [i for i in range(len(ids)) if len(sets[i])]
             if some:
                 s, d = scheme.signatures([sets[i] for i in some], np.array([ids[i] for i in some], np.int64))
                 held.append((s, d))
@@ -226,13 +259,32 @@ def _blocks(num: int, den: int, width: int, buckets: int):  # noqa: ANN202
                 held, n = [], 0
         if n:
             yield from flush(*map(np.concatenate, zip(*held)))
+        del held, known
+        settle()
 
     return run
 
 
-def _edges(buckets: int) -> np.ndarray:
-    """Where each bucket's signatures begin."""
-    return np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+def _bucket(sigs: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each signature, by its high bits: in the order of signatures."""
+    return (((sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def sketch(x: np.ndarray) -> bytes:
+    """How many items fall into each cell, 255 at most; about four a cell. The differences of two sketches add up to no more than those of the sets."""
+    if not len(x):
+        return b""
+    cells = min(CELLS, 1 << max(3, (len(x) // 4).bit_length()))
+    return np.minimum(np.bincount((mix(x ^ _GOLD) & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At least so many items are in one of two sets only, for rows of sketches of one or two widths."""
+    while a.shape[-1] > b.shape[-1]:
+        a = a[..., : a.shape[-1] // 2] + a[..., a.shape[-1] // 2 :]
+    while b.shape[-1] > a.shape[-1]:
+        b = b[..., : b.shape[-1] // 2] + b[..., b.shape[-1] // 2 :]
+    return np.abs(a - b).sum(axis=-1)
 
 
 def set_hash(x: np.ndarray, seed: int) -> int:
@@ -241,35 +293,23 @@ def set_hash(x: np.ndarray, seed: int) -> int:
 
 
 def _gather(batches):  # noqa: ANN001, ANN202
-    """The task that has all signatures of its buckets: tests and groups from them, and the sets' hashes as rows."""
+    """The task that has all signatures of its buckets, one bucket after the other: tests and groups from them, and the sets' hashes as rows."""
     import pyarrow as pa
 
-    def rows(kind: int, *cols, docs=None) -> pa.RecordBatch:  # noqa: ANN001
+    def rows(kind: int, *cols, docs=None, drawn=None) -> pa.RecordBatch:  # noqa: ANN001
         n = len(cols[0])
         full = [pa.array(np.asarray(c).astype(np.int64), pa.int64()) for c in cols] + [pa.nulls(n, pa.int64())] * (4 - len(cols))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *full, (docs if isinstance(docs, pa.Array) else pa.array(docs, pa.list_(pa.int64()))) if docs is not None else pa.nulls(n, pa.list_(pa.int64()))], names=_FOUND.names)
+        lists = pa.nulls(n, pa.list_(pa.int64())) if docs is None else docs if isinstance(docs, pa.Array) else pa.array(docs, pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *full, lists, pa.nulls(n, pa.binary()) if drawn is None else pa.array(drawn, pa.binary())], names=_FOUND.names)
 
-    sigs, ids, pairs, heads = [], [], [], []
-    for batch in batches:
-        for kind, n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if kind == META:
-                rest = np.frombuffer(data, np.uint64, 3 * n, offset=8 * n).reshape(3, n)
-                yield rows(META, unpack(data, n), *(x.view(np.int64) for x in rest))
-            elif kind == GROUP:
-                own = np.unique(unpack(data[8:], n))
-                yield rows(GROUP, np.frombuffer(data, np.uint64, 1).view(np.int64), docs=[own.tolist()])
-                if len(own) > 1:
-                    pairs.append(np.stack([np.full(len(own) - 1, own[0]), own[1:], np.ones(len(own) - 1, np.int64)], axis=1))
-            else:
-                sigs.append(np.frombuffer(data, np.uint64, n))
-                ids.append(unpack(data[8 * n :], n))
-                if kind == HEAD:
-                    heads.append(sigs[-1])
-        if len(pairs) > 512:
-            pairs = [_added(pairs)]
-    if sigs:
+    def tests(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found = _added(pairs)
+        for at in range(0, len(found), 50_000):
+            yield rows(TEST, *found[at : at + 50_000].T)
+
+    def met(sigs: list[np.ndarray], ids: list[np.ndarray], heads: list[np.ndarray], pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """A bucket's groups; its tests go to pairs."""
         s, d = np.concatenate(sigs), np.concatenate(ids)
-        del sigs, ids
         order = np.lexsort((d, s))
         s, d = s[order], d[order]
         again = np.concatenate([[False], (s[1:] == s[:-1]) & (d[1:] == d[:-1])])
@@ -288,10 +328,39 @@ def _gather(batches):  # noqa: ANN001, ANN202
             inside[part] = True
             ends = np.concatenate([[0], np.cumsum(count[part])]).astype(np.int32)
             yield rows(GROUP, s[first[part]].view(np.int64), docs=pa.ListArray.from_arrays(pa.array(ends), pa.array(d[np.repeat(inside, count)])))
+
+    now, sigs, ids, pairs, heads = None, [], [], [], []
+    for batch in batches:
+        for bucket, kind, n, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if bucket != now and sigs:
+                yield from met(sigs, ids, heads, pairs)
+                sigs, ids, heads = [], [], []
+            now = bucket
+            if kind == META:
+                rest = np.frombuffer(data, np.int64, 4 * n, offset=8 * n).reshape(4, n)
+                ends = [40 * n, *(40 * n + rest[3]).tolist()]
+                yield rows(META, unpack(data, n), *rest[:3], drawn=[data[x:y] for x, y in zip(ends, ends[1:])])
+            elif kind == GROUP:
+                own = np.unique(unpack(data[8:], n))
+                yield rows(GROUP, np.frombuffer(data, np.uint64, 1).view(np.int64), docs=[own.tolist()])
+                if len(own) > 1:
+                    pairs.append(np.stack([np.full(len(own) - 1, own[0]), own[1:], np.ones(len(own) - 1, np.int64)], axis=1))
+            else:
+                sigs.append(np.frombuffer(data, np.uint64, n))
+                ids.append(unpack(data[8 * n :], n))
+                if kind == HEAD:
+                    heads.append(sigs[-1])
+            if len(pairs) > 512:
+                pairs = [_added(pairs)]
+                if len(pairs[0]) > PAIRS:
+                    yield from tests(pairs)
+                    pairs = []
+    if sigs:
+        yield from met(sigs, ids, heads, pairs)
     if pairs:
-        found = _added(pairs)
-        for at in range(0, len(found), 50_000):
-            yield rows(TEST, *found[at : at + 50_000].T)
+        yield from tests(pairs)
+    del sigs, ids, pairs
+    settle()
 
 
 def _added(pairs: list[np.ndarray]) -> np.ndarray:
@@ -314,6 +383,8 @@ def _sets(width: int):  # noqa: ANN202
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), items], names=["id", "items"])
+            del sets, items
+        settle()
 
     return run
 
@@ -333,81 +404,139 @@ def _compare(num: int, den: int):  # noqa: ANN202
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 linked.append(den * both >= num * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            del xs, ys
+        settle()
 
     return run
 
 
-def _judged(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    met = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return scratch(met.mapInArrow(_compare(num, den), "a long, b long, linked boolean").filter("linked").select("a", "b"))
+def _sketched(num: int, den: int):  # noqa: ANN202
+    """The pairs (a, b, c) whose sketches leave open that they are similar."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = ([np.frombuffer(v, np.uint8).astype(np.int32) for v in batch.column(k).to_pylist()] for k in (4, 6))
+            n = batch.column(3).to_numpy() + batch.column(5).to_numpy()
+            able = pa.array([(den + num) * int(apart(p, q)) <= (den - num) * t for p, q, t in zip(x, y, n.tolist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)], names=["a", "b", "c"]).filter(able)
+        settle()
+
+    return run
+
 
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, c) that may link by their sizes and sketches."""
+    left, right = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    met = pairs.join(left, "a").join(right, "b").filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+    return met.select("a", "b", "c", "na", "sa", "nb", "sb").mapInArrow(_sketched(num, den), "a long, b long, c long")
 
-def _all_links(tests: DataFrame, groups: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect whatever is similar. tests: (a, b, na, nb, c, fits), c the signatures shared; groups: (sig, y).
 
-    Each document is first tested against the one it shares most signatures with. From then on only what lies in different
-    components matters: documents tested elsewhere, and those of one signature. Among all of these, items that one document
-    alone has bound its similarity to any other, so most pairs need no test. The rest are tested as they stand, and each
-    document against the most central one with its signature, whose items are the most frequent. Where a signature then
-    still spans components, its documents are joined by positional prefix filter: with items in order of frequency, the
-    first one that similar sets share stands early in both. That finds every link there is.
+def _among(num: int, den: int):  # noqa: ANN202
+    """The pairs (a, b) of each group's sets in different components whose sketches leave open that they are similar."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        for batch in batches:
+            one, two = [], []
+            for group in batch.column(0).to_pylist():
+                group.sort(key=lambda r: r["y"])
+                ids, n, part = (np.array([r[c] for r in group], np.int64) for c in ("y", "n", "part"))
+                drawn = [np.frombuffer(r["sketch"], np.uint8).astype(np.int32) for r in group]
+                for width in {len(x) for x in drawn}:  # against those of the same width or wider
+                    own = np.flatnonzero([len(x) == width for x in drawn])
+                    other = np.flatnonzero([len(x) >= width for x in drawn])
+                    wide = np.stack([x.reshape(-1, width).sum(axis=0) for x in (drawn[i] for i in other)])
+                    for i in own:
+                        total = n[i] + n[other]
+                        able = (part[other] != part[i]) & ((den + num) * np.abs(wide - drawn[i]).sum(axis=1) <= (den - num) * total)
+                        found = other[able]
+                        one.append(np.minimum(ids[i], ids[found]))
+                        two.append(np.maximum(ids[i], ids[found]))
+            a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (one, two))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        settle()
+
+    return run
+
+
+def _all_links(tests: DataFrame, groups: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect whatever is similar. tests: (a, b, c), c the signatures shared; groups: (sig, y); sketches: (id, n, sketch).
+
+    Pairs whose sketches differ too much are dropped. Of the rest, each document is first tested against the one it shares most
+    signatures with; then only what lies in different components matters. Where a signature spans components, all its
+    documents are compared by sketch, if they are few. Of many, those are tested that pass a positional prefix filter: with items in order of
+    frequency, the first one that similar sets share stands early in both. So no link is lost that could join two components.
     """
     pairs = lambda d: d.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    best = scratch(tests.filter("fits").groupBy("b").agg(F.max(F.struct("c", "a"))["a"].alias("a")))
-    links = _judged(best, sets, scratch, num, den)
-    parts = components(links, "a", "b", scratch)
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return docs.hint("merge").join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, items array<long>")
+
+    def judged(found: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link."""
+        sets, path = scratch.write(sets_of(found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id")))))
+        left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+        right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+        met = found.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y")
+        out = scratch(met.mapInArrow(_compare(num, den), "a long, b long, linked boolean").filter("linked").select("a", "b"))
+        scratch.drop(path)
+        return out
 
     def placed(d: DataFrame, c: str, to: str = "part") -> DataFrame:
         own = parts.select(F.col("node").alias(c), F.col("component").alias("_part"))
         return d.join(own, c, "left").withColumn(to, F.coalesce("_part", c)).drop("_part")
 
     def spanning(d: DataFrame) -> DataFrame:
-        """The rows (sig, y, part) of signatures that lie in several components."""
-        several = d.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("sig")
-        return d.join(several, "sig", "left_semi")
+        """The rows (sig, y, part) of signatures that lie in several components, with their number."""
+        several = d.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("many")).filter("low < high").select("sig", "many")
+        return d.join(several, "sig")
 
-    waiting = tests.filter("fits").select("a", "b").join(best, ["a", "b"], "left_anti")
+    able = scratch(_possible(tests, sketches, num, den))
+    best = scratch(able.groupBy("b").agg(F.max(F.struct("c", "a"))["a"].alias("a")).select("a", "b"))
+    links = judged(best)
+    parts = components(links, "a", "b", scratch)
+    waiting = able.select("a", "b").join(best, ["a", "b"], "left_anti")
     waiting = scratch(placed(placed(waiting, "a", "pa"), "b", "pb").filter("pa <> pb").select("a", "b"))
-    around = scratch(spanning(placed(groups, "y")).select("sig", "y"))
-    ids = waiting.select(F.col("a").alias("id")).unionByName(waiting.select(F.col("b").alias("id"))).unionByName(around.select(F.col("y").alias("id"))).distinct()
-    items = sets.join(ids, "id", "left_semi").select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    items, path = scratch.write(items)
-    counted, counted_path = scratch.write(items.join(items.groupBy("item").agg(F.count(F.lit(1)).alias("df")), "item"))
-    scratch.drop(path)
-    stats = scratch(counted.groupBy("id").agg(F.max("n").alias("n"), F.count_if(F.col("df") == 1).alias("own"), F.avg("df").alias("mid")))
-
-    def possible(d: DataFrame) -> DataFrame:
-        one, two = (stats.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), (F.col("n") - F.col("own")).alias(f"s{c}")) for c in "ab")
-        most = F.least("sa", "sb")
-        return d.join(one, "a").join(two, "b").filter(den * most >= num * (F.col("na") + F.col("nb") - most)).select("a", "b")
-
-    able = stats.filter(den * (F.col("n") - F.col("own")) >= num * F.col("n"))
-    around = scratch(around.join(able.select(F.col("id").alias("y"), "mid"), "y"))
-    center = around.groupBy("sig").agg(F.max(F.struct("mid", "y"))["y"].alias("x"))
-    tested = best.select("a", "b").unionByName(tests.filter("not fits").select("a", "b"))
-    fresh = scratch(possible(waiting.unionByName(pairs(around.select("sig", "y").join(center, "sig"))).distinct().join(tested, ["a", "b"], "left_anti")))
-    links = scratch(links.unionByName(_judged(fresh, sets, scratch, num, den)))
-
+    links = scratch(links.unionByName(judged(waiting)))
     parts = components(links, "a", "b", scratch)
-    open_ = scratch(spanning(placed(around.select("sig", "y"), "y")).select("y", "part").distinct())
-    if open_.isEmpty():
-        scratch.drop(counted_path)
-        return links
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))
-    head = counted.join(open_.select(F.col("y").alias("id"), "part"), "id").withColumn("rank", rank)
-    room = F.floor((den * F.col("n") - num * F.col("n")) / den)  # items that the other may lack
-    head, head_path = scratch.write(head.filter((F.col("rank") <= room + 1) & (F.col("df") > 1)).select("id", "item", "n", "rank", "part"))
-    scratch.drop(counted_path)
-    other = head.select(F.col("id").alias("y"), "item", F.col("n").alias("m"), F.col("rank").alias("at"), F.col("part").alias("there"))
-    shared = 1 + F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("at"))
-    near = (F.col("id") < F.col("y")) & (F.col("part") != F.col("there")) & (den * shared >= num * (F.col("n") + F.col("m") - shared))
-    met = pairs(head.alias("p").join(other, "item").filter(near).select(F.col("id").alias("x"), "y"))
-    last = scratch(met.join(tested.unionByName(fresh), ["a", "b"], "left_anti"))
-    scratch.drop(head_path)
-    return scratch(links.unionByName(_judged(last, sets, scratch, num, den)))
+
+    around = scratch(spanning(placed(groups, "y")))
+    drawn = sketches.select(F.col("id").alias("y"), "n", "sketch")
+    few = around.filter(F.col("many") <= FEW).join(drawn, "y").groupBy("sig").agg(F.collect_list(F.struct("y", "n", "part", "sketch")).alias("m")).select("m")
+    left = scratch(few.mapInArrow(_among(num, den), "a long, b long").distinct())
+
+    many = around.filter(F.col("many") > FEW).select("sig", "y", "part")
+    if not many.isEmpty():
+        sets, sets_path = scratch.write(sets_of(many.select(F.col("y").alias("id"))))
+        items = sets.select("id", F.explode("items").alias("item"))
+        again, again_path = scratch.write(items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+        shared, shared_path = scratch.write(items.join(again, "item"))  # items that one document alone has tell no pair
+        scratch.drop(again_path)
+        has = shared.groupBy("id").agg(F.count(F.lit(1)).alias("has"))
+        full = scratch(sets.select("id", F.size("items").alias("n")).join(has, "id").filter(den * F.col("has") >= num * F.col("n")))
+        scratch.drop(sets_path)
+        many = scratch(spanning(many.join(full.select(F.col("id").alias("y")), "y", "left_semi")).select("sig", "y", "part"))
+        part_of = many.select(F.col("y").alias("id"), "part").distinct().join(full, "id")
+        rank = F.col("n") - F.col("has") + F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))  # after those that it alone has
+        room = F.floor((den - num) * F.col("n") / den)  # items that the other may lack
+        head = shared.join(part_of, "id").withColumn("rank", rank).filter(F.col("rank") <= room + 1).select("id", "item", "n", "rank", "part")
+        head, head_path = scratch.write(head)
+        scratch.drop(shared_path)
+        mixed = scratch(head.groupBy("item").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("item"))
+        head = head.join(mixed, "item", "left_semi")
+        other = head.select(F.col("id").alias("y"), "item", F.col("n").alias("m"), F.col("rank").alias("at"), F.col("part").alias("there"))
+        most = 1 + F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("at"))
+        near = (F.col("id") < F.col("y")) & (F.col("part") != F.col("there")) & (den * most >= num * (F.col("n") + F.col("m") - most))
+        met = pairs(head.alias("p").join(other, "item").filter(near).select(F.col("id").alias("x"), "y"))
+        signed = lambda c: many.select("sig", F.col("y").alias(c))
+        met = met.join(signed("a"), "a").join(signed("b"), ["b", "sig"], "left_semi").select("a", "b", F.lit(1).cast("long").alias("c")).distinct()
+        left = scratch(left.unionByName(_possible(met, sketches, num, den).select("a", "b")).distinct())
+        scratch.drop(head_path)
+    last = scratch(left.join(best.unionByName(waiting), ["a", "b"], "left_anti"))
+    return scratch(links.unionByName(judged(last)))
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", num: int = 85, den: int = 100, width: int = 4) -> DataFrame:
@@ -425,25 +554,22 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", num: int
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     blocks = docs.filter(F.col("id").isNotNull()).mapInArrow(_blocks(num, den, width, tasks * SPLITS), _BLOCK)
-    found = scratch(blocks.repartition(tasks, "bucket").mapInArrow(_gather, _FOUND))
+    found = scratch(blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, _FOUND))
 
     meta = found.filter(F.col("kind") == META).select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("h1"), F.col("d").alias("h2"))
+    sketches = found.filter((F.col("kind") == META) & (F.col("b") > 0)).select(F.col("a").alias("id"), F.col("b").alias("n"), "sketch").dropDuplicates(["id"])
     first = meta.filter(F.col("n") > 0).groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     first = scratch(first)  # written, so that the join has a shuffle on both sides and AQE can split a large group of copies
     meta = scratch(meta.join(first, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     one = meta.filter(F.col("n") > 0)
 
     # Tests between representatives, each once.
-    a = one.select(F.col("id").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"))
-    b = one.select(F.col("id").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
+    a, b = (one.select(F.col("id").alias(c), F.col("rep").alias(f"r{c}")) for c in "ab")
     tests = found.filter(F.col("kind") == TEST).groupBy("a", "b").agg(F.sum("c").alias("c")).join(a, "a").join(b, "b").filter(F.col("ra") != F.col("rb"))
-    fits = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    tests = scratch(tests.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), fits.alias("fits"), "c").groupBy("a", "b").agg(F.max("fits").alias("fits"), F.max("c").alias("c")))
+    tests = scratch(tests.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "c").groupBy("a", "b").agg(F.max("c").alias("c")))
     groups = found.filter(F.col("kind") == GROUP).select(F.col("a").alias("sig"), F.explode("docs").alias("id"))
     groups = groups.join(one.select("id", "rep").distinct(), "id").select("sig", F.col("rep").alias("y")).distinct()
-    ids = tests.select(F.col("a").alias("id")).unionByName(tests.select(F.col("b").alias("id"))).distinct()
-    sets = scratch(docs.hint("merge").join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, items array<long>"))
-    links = _all_links(tests, groups, sets, scratch, num, den)
+    links = _all_links(tests, groups, sketches, docs, width, scratch, num, den)
 
     parts = components(links, "a", "b", scratch).select(F.col("node").alias("rep"), "component")
     rows = meta.join(parts, "rep", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

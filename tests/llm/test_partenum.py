@@ -69,6 +69,9 @@ def test_near_copies_around_the_threshold(spark, monkeypatch):
     assert run(spark, rows) == want
     monkeypatch.setattr(partenum, "HOT", 3)
     monkeypatch.setattr(partenum, "HELD", 4000)
+    monkeypatch.setattr(partenum, "ITEMS", 700)
+    monkeypatch.setattr(partenum, "PAIRS", 50)
+    monkeypatch.setattr(partenum, "FEW", 2)
     assert run(spark, rows) == want
 
 
@@ -97,17 +100,20 @@ def test_chains_across_components(spark):
     assert run(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("size", [6, 7, 13, 20, 47, 160, 700])
-def test_similar_sets_share_a_signature(size):
+@pytest.mark.parametrize("num", [80, 85])
+@pytest.mark.parametrize("size", [6, 7, 13, 20, 47, 160, 700, 2500])
+def test_similar_sets_share_a_signature(size, num):
     rng = np.random.default_rng(size)
-    scheme = partenum.Scheme()
+    scheme = partenum.Scheme(num)
     for _ in range(60):
         a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
-        most = 15 * 2 * len(a) // 185 + 2
+        most = (100 - num) * 2 * len(a) // (100 + num) + 2
         lost, won = rng.integers(0, most), rng.integers(0, most)
         b = np.unique(np.concatenate([rng.permutation(a)[lost:], rng.integers(0, 2**63, won).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if len(b) and 100 * both >= 85 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+        x, y = (np.frombuffer(partenum.sketch(v), np.uint8).astype(np.int32) for v in (a, b))
+        assert partenum.apart(x, y) <= len(a) + len(b) - 2 * both
+        if len(b) and 100 * both >= num * (len(a) + len(b) - both) and both < max(len(a), len(b)):
             sigs, ids = scheme.signatures([a, b], np.array([0, 1]))
             assert set(sigs[ids == 0].tolist()) & set(sigs[ids == 1].tolist())
 
