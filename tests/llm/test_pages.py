@@ -8,7 +8,7 @@ from tests.llm.conftest import SF
 
 
 def text(source, mains=(), fixed=()):
-    return pages.main_text(source, list(mains), set(fixed))
+    return pages.main_text(source, list(mains), set(fixed), None)
 
 
 @pytest.mark.parametrize(
@@ -56,6 +56,54 @@ def test_template_finds_the_slot_where_no_element_says_so(spark):
     assert all(out[i].startswith(f"Own text number {i}") and "\n" not in out[i] for i in range(6))
 
 
+@pytest.mark.parametrize("name", ["legal-analysis", "notice-board", "share-price", "form-of-the-poem", "comment-on-the-text", "adverse events", "search-for-meaning", "hidden-figures"])
+def test_names_that_only_sound_like_side_matters(name):
+    assert text(f"<article><h1>T</h1><section class='{name}'><p>Main text.</p></section><div id='{name}'>More.</div></article>") == "T\nMain text.\nMore."
+
+
+def site(kind, n=24):
+    """Pages of one host with boilerplate that only its recurrence tells, and the texts that are right."""
+    rows, want = [], {}
+    for i in range(n):
+        own = [f"Paragraph {k} of story {i} tells {'a long tale ' * (3 + (i * 7 + k) % 5)}{i * k}." for k in range(4)]
+        body = f"<h1>Story {i}</h1>" + "".join(f"<p>{x}</p>" for x in own)
+        extra = "<p>Join our club today and read on for free.</p><div class='share'>Tell your friends</div>"
+        if kind == "article":
+            html = f"<nav>Home</nav><article>{body}{extra}</article><div>Reader {i} said: what a tale number {i}</div>"
+        else:
+            html = f"<div class=top><div>Home News Contact About</div></div><div class=story>{body}{extra}</div><div class=end><p>All rights belong to somebody</p></div>"
+        rows.append((i, f"http://h.example/{kind}/{i}", html))
+        want[i] = "\n".join([f"Story {i}", *own])
+    return rows, want
+
+
+def found(spark, rows):
+    return {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("kind", ["article", "none"])
+def test_the_template_decides(spark, kind):
+    rows, want = site(kind)
+    assert found(spark, rows) == want
+    alone = {i: text(html) for i, _, html in rows}
+    assert all("Join our club" in x for x in alone.values())  # without the template it would stay
+
+
+def test_layouts_of_a_few_pages_have_templates_too(spark):
+    big, want_big = site("article", 60)
+    small = [(1000 + i, "http://h.example/s", f"<div class=other><section><h2>Part {i}</h2><p>{'Something else entirely. ' * (5 + i)}</p><p>Read our terms of use.</p></section></div>") for i in range(4)]
+    out = found(spark, big + small)
+    assert {i: out[i] for i in want_big} == want_big
+    assert all("terms of use" not in out[1000 + i] and f"Part {i}" in out[1000 + i] for i in range(4))
+
+
+def test_near_copies_keep_their_article(spark):
+    story = [f"Paragraph {k} of the one story {'goes on and on ' * (k + 3)}" for k in range(8)]
+    rows = [(i, "http://h.example/x", "<nav>m</nav><article>" + "".join(f"<p>{x} {i if k == i % 8 else ''}</p>" for k, x in enumerate(story)) + "</article>") for i in range(30)]
+    out = found(spark, rows)
+    assert all(len(out[i].split("\n")) == 8 for i in range(30))
+
+
 def test_copies_keep_their_article(spark):
     page = "<nav>m</nav><article><p>The same text on every page.</p></article>"
     rows = [(i, "http://h.example/x", page) for i in range(5)] + [(5, "http://h.example/x", page)]
