@@ -1,13 +1,14 @@
 """Quality rules whose cutoffs are chosen under a proven risk.
 
-Each rule rejects a document whose measure exceeds a cutoff. For every stratum, rule and cutoff of a fixed grid the
-labelled holdout gives k good documents rejected out of n; the exact (Clopper-Pearson) upper bound on the rate of false
-rejections must stay under the risk. All tests of all strata, rules and cutoffs share one error probability (Bonferroni),
-so that with confidence 1 - delta no rule rejects more than `risk` of the good documents of any stratum. The lowest such
-cutoff that rejects a bad document is taken; a rule without one rejects nothing.
+Each rule rejects a document whose measure exceeds a cutoff. The rules' cutoffs are tightened together, level by level, from
+the laxest to the strictest, by a ladder fixed beforehand. For every stratum and level the labelled holdout gives k of n good documents
+rejected by any rule; the exact (Clopper-Pearson) upper bound on the rate of false rejections must stay under the risk. A
+stratum takes the last level before the first that fails: levels tested in a fixed order need no correction among themselves (fixed-sequence
+testing). The strata share the error probability (Bonferroni). So with confidence 1 - delta, all rules together reject no
+more than `risk` of the good documents of any stratum beyond what the base rules reject.
 
 The measures use DataFrame functions only, over the whole text, without a shuffle. The driver sees counts: one row for each
-stratum, rule and grid cell.
+stratum, level and label.
 """
 
 from __future__ import annotations
@@ -21,15 +22,16 @@ from tesserine.llm.common import Scratch, text_of
 
 #: White space that parts words, as characters and as a pattern.
 SPACE, SPACE_RE = " \t\n\x0b\x0c\r", "[\\x20\\x09-\\x0D]+"
-#: The grid of cutoffs for each rule: shares and rates, lowest first.
-GRID = {
-    "symbols_per_word": [0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0],
-    "repeated_words": [0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8],
-    "repeated_lines": [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8],
-    "upper_words": [0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9],
-    "word_length": [6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0, 15.0],
+#: The ladder: each rule's cutoffs, laxest first.
+LADDER = {
+    "symbols_per_word": [3.0, 2.5, 2.0, 1.5, 1.0, 0.75, 0.5, 0.3, 0.2, 0.1],
+    "repeated_words": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1],
+    "repeated_lines": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1],
+    "upper_words": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1],
+    "word_length": [15.0, 14.0, 13.0, 12.0, 11.0, 10.0, 9.0, 8.0, 7.5, 7.0],
 }
-RISK, DELTA = 0.02, 0.05
+LEVELS = 10
+RISK, DELTA = 0.03, 0.05
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -91,42 +93,49 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", quality: str = "quality", risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """The certified cutoff of each stratum and rule. Labels that are null, and repeated labels beyond one of each value for
-    a document, count for nothing; the better label holds where a document has both."""
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _level() -> Column:
+    """The laxest level, from 1, whose cutoffs reject the row; LEVELS + 1 if none does."""
+    over = [F.coalesce(F.col(rule) > cut, F.lit(False)) for rule, cuts in LADDER.items() for cut in cuts]
+    at = [n + 1 for cuts in LADDER.values() for n in range(len(cuts))]
+    return F.least(F.lit(LEVELS + 1), *[F.when(x, n).otherwise(LEVELS + 1) for x, n in zip(over, at)])
+
+
+def levels(measured: DataFrame, labels: DataFrame, key: str = "doc_id", quality: str = "quality", risk: float = RISK, delta: float = DELTA) -> dict[str, int]:
+    """The certified level of each stratum of the holdout, 0 for none. The holdout is what is labelled and passes the base rules.
+    Labels that are null, and repeated labels beyond one of each value for a document, count for nothing; the better label
+    holds where a document has both."""
     own = labels.groupBy(key).agg(F.max(quality).alias("_good")).filter(F.col("_good").isNotNull() & F.col(key).isNotNull())
-    cells = F.array(*[F.struct(F.lit(r).alias("rule"), sum((F.coalesce(F.col(r) > c, F.lit(False)).cast("int") for c in grid), F.lit(0)).alias("over")) for r, grid in GRID.items()])
-    seen = measured.join(own, key).select("_stratum", (F.col("_good") > 0).alias("good"), F.explode(cells).alias("x"))
-    counts = seen.groupBy("_stratum", "x.rule", "x.over", "good").count().collect()
+    seen = measured.filter(~_base_failed()).join(own, key).select("_stratum", (F.col("_good") > 0).alias("good"), _level().alias("level"))
+    counts = seen.groupBy("_stratum", "level", "good").count().collect()
     strata = {r["_stratum"] for r in counts}
-    share = delta / max(1, len(strata) * sum(map(len, GRID.values())))
     out = {}
     for s in strata:
-        for rule, grid in GRID.items():
-            rows = [r for r in counts if r["_stratum"] == s and r["rule"] == rule]
-            n = sum(r["count"] for r in rows if r["good"])
-            for at, cut in enumerate(grid):
-                beyond = lambda good: sum(r["count"] for r in rows if r["good"] == good and r["over"] > at)  # noqa: B023, E731
-                if beyond(False) and upper_bound(beyond(True), n, share) <= risk:
-                    out[s, rule] = cut
-                    break
+        good = [(r["level"], r["count"]) for r in counts if r["_stratum"] == s and r["good"]]
+        n, out[s] = sum(c for _, c in good), 0
+        for level in range(1, LEVELS + 1):
+            if upper_bound(sum(c for x, c in good if x <= level), n, delta / len(strata)) > risk:
+                break
+            out[s] = level
     return out
 
 
-def apply_rules(measured: DataFrame, cuts: dict[tuple[str, str], float]) -> DataFrame:
-    """base_failed and kept. A stratum without a certified cutoff rejects by the base rules alone."""
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def apply_rules(measured: DataFrame, found: dict[str, int]) -> DataFrame:
+    """base_failed and kept. A stratum without a certified level rejects by the base rules alone."""
+    own = sorted((s, n) for s, n in found.items() if n)
     over = F.lit(False)
-    for rule in GRID:
-        own = sorted((s, c) for (s, r), c in cuts.items() if r == rule)
-        if own:
-            cut = F.create_map(*[F.lit(x) for pair in own for x in pair])
-            over = over | F.coalesce(F.col(rule) > cut[F.col("_stratum")], F.lit(False))
-    return measured.withColumn("base_failed", base).withColumn("kept", ~base & ~over)
+    if own:
+        held = F.create_map(*[F.lit(x) for pair in own for x in pair])
+        over = F.coalesce(_level() <= held[F.col("_stratum")], F.lit(False))
+    return measured.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
 
 
 def quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Key, base counts, base_failed and kept for every row of df. Null texts fail the base rules. The measures are written
     once to the shared folder, for the labelled counts and the verdicts."""
-    measured = Scratch(df.sparkSession, "quality")(measures(df, key, text, stratum))
-    return apply_rules(measured, cutoffs(measured, labels, key, risk=risk, delta=delta)).select(key, *BASE, "base_failed", "kept")
+    scratch = Scratch(df.sparkSession, "quality")
+    measured = scratch(measures(df, key, text, stratum))
+    return scratch.release(apply_rules(measured, levels(measured, labels, key, risk=risk, delta=delta)).select(key, *BASE, "base_failed", "kept"))

@@ -95,7 +95,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _REACH = """reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a), parts AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
 
+_LADDER = ", ".join(f"({n + 1}, {', '.join(str(cuts[n]) for cuts in quality.LADDER.values())})" for n in range(quality.LEVELS))
+
 SQL: dict[str, str] = {
+    "op6_quality": f"""WITH words AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  lines AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM words),
+  windows AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+  again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+  covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM again) GROUP BY doc_id),
+  base AS (SELECT doc_id, stratum, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM lines LEFT JOIN covered USING (doc_id)),
+  measured AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / nullif(n_words, 0) AS m1, n_repeat_words / nullif(n_words, 0) AS m2, n_dup_lines / nullif(n_lines, 0) AS m3,
+    len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) / nullif(n_words, 0) AS m4, word_chars / nullif(n_words, 0) AS m5 FROM base),
+  ladder(n, c1, c2, c3, c4, c5) AS (VALUES {_LADDER}),
+  placed AS (SELECT doc_id, coalesce(min(n), {quality.LEVELS + 1}) AS level FROM measured LEFT JOIN ladder ON m1 > c1 OR m2 > c2 OR m3 > c3 OR m4 > c4 OR m5 > c5 GROUP BY doc_id),
+  good AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+  held AS (SELECT stratum, good, level FROM measured JOIN placed USING (doc_id) JOIN good USING (doc_id) WHERE NOT base_failed),
+  counts AS (SELECT stratum, ladder.n AS step, count(*) FILTER (good) AS n, count(*) FILTER (good AND level <= ladder.n) AS k FROM held, ladder GROUP BY stratum, ladder.n),
+  tests AS (SELECT stratum, step, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.RISK}) + (n - i) * ln(1 - {quality.RISK})))) <= {quality.DELTA} / (SELECT count(DISTINCT stratum) FROM held) AS fine FROM counts),
+  certified AS (SELECT stratum, coalesce(min(step) FILTER (NOT fine), {quality.LEVELS + 1}) - 1 AS last FROM tests GROUP BY stratum)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND level > coalesce(last, 0) AS kept FROM measured JOIN placed USING (doc_id) LEFT JOIN certified USING (stratum)""",
     "op4_embedding_dedup": f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
   fine AS (SELECT id, e FROM nodes WHERE len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
   links AS (SELECT a.id AS a, b.id AS b FROM fine a JOIN fine b ON a.id <> b.id AND list_cosine_similarity(a.e, b.e) >= 0.95), {_REACH}

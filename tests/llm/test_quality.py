@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 
 import pytest
@@ -41,17 +42,36 @@ def test_upper_bound_is_exact():
     assert quality.upper_bound(0, 0, 0.1) == quality.upper_bound(5, 5, 0.1) == 1.0
 
 
-def test_cutoffs_keep_the_risk(spark):
-    good = [(i, "a plain sentence of words " * 12 + str(i), "en") for i in range(900)]
-    bad = [(1000 + i, "### junk $$$ %%% " * 30, "en") for i in range(60)]
-    few = [(2000 + i, "### junk $$$ %%% " * 30, "xx") for i in range(5)]
-    docs = spark.createDataFrame(good + bad + few, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1) for i, *_ in good] + [(i, 0) for i, *_ in bad + few] + [(1, 0), (None, 0), (5, None)], "doc_id long, quality int")
+def test_levels_keep_the_risk_of_all_rules_together(spark):
+    rng = random.Random(4)
+    prose = lambda n, sign="": " ".join(f"w{rng.randrange(10**6)}{sign}" for _ in range(n))
+    good = [(i, prose(80, "#" if i % 40 == 0 else ""), "en") for i in range(800)]  # 1 in 40 good ones has as many signs as a bad one
+    bad = [(1000 + i, prose(80, "###"), "en") for i in range(60)]
+    few = [(2000 + i, prose(80, "###"), "xx") for i in range(5)]
+    long = [(3000 + i, prose(60, "y" * (6 if i % 25 == 0 else 0)), "yy") for i in range(500)]
+    docs = spark.createDataFrame(good + bad + few + long, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in good + long] + [(i, 0) for i, *_ in bad + few] + [(1, 0), (None, 0), (5, None)], "doc_id long, quality int")
     m = quality.measures(docs)
-    cuts = quality.cutoffs(m, labels)
-    assert ("en", "symbols_per_word") in cuts and not [s for s, _ in cuts if s == "xx"]
-    rows = quality.apply_rules(m, cuts).collect()
-    assert all(r["kept"] or r["base_failed"] for r in rows if r["doc_id"] < 900) and not any(r["kept"] for r in rows if 1000 <= r["doc_id"] < 2000)
+    got = quality.levels(m, labels)
+    # Brute force: the tail of the binomial at the risk, level by level.
+    rows = {r["doc_id"]: r for r in m.collect()}
+
+    def rejects(doc, level):
+        return any((rows[doc][rule] or 0) > cuts[level - 1] for rule, cuts in quality.LADDER.items())
+
+    for stratum, own in (("en", good), ("yy", long), ("xx", [])):
+        want = 0
+        for level in range(1, quality.LEVELS + 1):
+            k, n = sum(rejects(i, level) for i, *_ in own), len(own)
+            tail = sum(math.comb(n, i) * quality.RISK**i * (1 - quality.RISK) ** (n - i) for i in range(k + 1))
+            if tail > quality.DELTA / 3:
+                break
+            want = level
+        assert got[stratum] == want
+    assert 0 < got["en"] < quality.LEVELS and got["xx"] == 0
+    kept = {r["doc_id"]: r["kept"] for r in quality.apply_rules(m, got).collect()}
+    assert not any(kept[i] for i, *_ in bad) and all(kept[i] for i, *_ in few)
+    assert sum(not kept[i] for i, *_ in good) <= quality.RISK * len(good)
 
 
 def test_odd_rows(odd, none, spark):
