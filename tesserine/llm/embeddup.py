@@ -8,8 +8,9 @@ it reaches the target share of them from one side or the other. Two vectors meet
 Who meets is verified by cosine in double precision. Cells are cut into blocks of bounded size, block meets block, and
 only counts and a spanning forest of the links come out: no list of pairs. Equal vectors are one, with a weight.
 
-Codebooks and margin are fitted on a bounded sample; the grid grows with the number of vectors up to MOST_WORDS squared cells,
-whose sizes are broadcast.
+Codebooks and margin are fitted on a bounded sample; the grid grows with the number of vectors. Vectors of each length have a
+grid of their own, all in the same jobs. A dense cell's pairs of blocks are dealt over many keys, the smaller side
+repeated.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserine.llm.common import Scratch, arrow_limits
+from tesserine.llm.common import Scratch, arrow_limits, settle
 from tesserine.llm.components import components
 
-#: Vectors that codebooks are fitted on, about; codewords of a half; vectors in a cell, about, and in a block.
-SAMPLE, MOST_WORDS, PER_CELL, BLOCK = 20_000, 256, 64, 512
+#: Vectors that codebooks are fitted on, about, for all lengths together; vectors in a cell, about, and in a block; pairs of blocks of one key, about.
+SAMPLE, PER_CELL, BLOCK, PAIRS = 20_000, 64, 512, 16
 TARGET = 0.99
-#: Different lengths of vectors that one table may hold; each has an index of its own.
-MOST_LENGTHS = 16
+#: Vectors of a length from which on it has a grid.
+LEAST = 16
 
 
 @dataclass(frozen=True)
@@ -80,7 +81,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 def fit(sample: np.ndarray, total: int, cosine: float, target: float = TARGET, seed: int = 3) -> Index:
     """Codebooks of both halves and the margin, from unit vectors."""
     rng = np.random.default_rng(seed)
-    k = max(1, min(MOST_WORDS, int(math.sqrt(total / PER_CELL))))  # a small table is one cell, and compared whole
+    k = max(2, int(math.sqrt(total / PER_CELL)))
     h = sample.shape[1] // 2
     plain = Index((_kmeans(sample[:, :h], k, rng), _kmeans(sample[:, h:], k, rng)), 0.0)
     x = sample[rng.choice(len(sample), min(len(sample), 2000), replace=False)]
@@ -96,6 +97,7 @@ def fit(sample: np.ndarray, total: int, cosine: float, target: float = TARGET, s
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -103,16 +105,24 @@ def _matrix(raw: list[bytes], kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
 
 
-def _placed(index: Index, kind: type):  # noqa: ANN202
+def _placed(indexes: dict[int, Index], kind: type):  # noqa: ANN202
+    """Cells are numbered by length and place in its grid; vectors of a length without an index are in one cell."""
+
     def run(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.array(batch.column(2).to_pylist(), np.float64)
-            cells = index.visits(_unit(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c[0] for c in cells], pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())], names=["id", "w", "home", "cells", "raw"])
+            rows = batch.column(2).to_pylist()
+            cells: list[list[int]] = [[]] * len(rows)
+            for d in set(map(len, rows)):
+                at = [k for k, x in enumerate(rows) if len(x) == d]
+                found = indexes[d].visits(_unit(np.array([rows[k] for k in at], np.float64))) if d in indexes else [[0]] * len(at)
+                for k, own in zip(at, found):
+                    cells[k] = [(d << 32) + c for c in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c[0] for c in cells], pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array([np.array(r, kind).tobytes() for r in rows], pa.binary())], names=["id", "w", "home", "cells", "raw"])
+        settle()
 
     return run
 
@@ -152,10 +162,23 @@ def _met(cosine: float, kind: type):  # noqa: ANN202
                 u, v = np.concatenate(joined), np.concatenate(to)
                 i, n = np.concatenate(ids), np.concatenate(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([i, u])), pa.array(np.concatenate([n, np.zeros(len(u), np.int64)])), pa.array([None] * len(i) + v.tolist(), pa.int64())], names=["id", "n", "to"])
+        settle()
 
     return run
 
 
+def _dealt(one: DataFrame, two: DataFrame, n: str, m: str) -> DataFrame:
+    """one and two met by cell; n and m are their numbers of blocks there. The side of more blocks is dealt over keys, the other repeated."""
+    keys = F.ceil(F.col(n) * F.col(m) / PAIRS)
+    keys = F.least(keys, F.greatest(n, m))
+    dealt = F.array(F.pmod("block", keys).cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), keys.cast("long") - 1)
+    left = one.withColumn("salt", F.explode(F.when(F.col(n) >= F.col(m), dealt).otherwise(every)))
+    right = two.withColumn("salt", F.explode(F.when(F.col(n) >= F.col(m), every).otherwise(dealt)))
+    right = right.select("cell", "salt", F.col("block").alias("other"), F.col("m").alias("p"))
+    return left.select("cell", "salt", "block", "m").join(right, ["cell", "salt"])
+
+
 def _forest(link: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each vector with the smallest id it reaches within the blocks."""
     la, lb, big = a.copy(), b.copy(), np.iinfo(np.int64).max
@@ -186,31 +209,23 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     rows = df.select(F.col(key).cast("long").alias("id"), F.when(fine, v).alias("v"))
     rows = rows.withColumn("h1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("h2", F.when(F.col("v").isNotNull(), F.xxhash64("v", F.lit(1))))
     one = scratch(rows.filter(F.col("v").isNotNull()).groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v")))
-    lengths = [r["d"] for r in one.select(F.size("v").alias("d")).distinct().limit(MOST_LENGTHS + 1).collect()]
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
-
-    found = spark.createDataFrame([], "id long, n long, to long")
-    for d in sorted(lengths):
-        own = one.filter(F.size("v") == d).select("id", "w", "v", "h1")
-        total = own.count()
-        every = max(1, total // SAMPLE)
-        sample = own.filter(F.pmod(F.col("h1"), F.lit(every)) == 0).select("v").limit(2 * SAMPLE).toArrow().column("v").to_pylist()
-        if not sample:
-            sample = own.select("v").limit(SAMPLE).toArrow().column("v").to_pylist()
-        index = fit(_unit(np.array(sample, np.float64)), total, cosine, target)
-        placed = scratch(own.select("id", "w", "v").mapInArrow(_placed(index, kind), T.StructType([T.StructField("id", T.LongType()), T.StructField("w", T.LongType()), T.StructField("home", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("raw", T.BinaryType())])))
-        there = placed.select(F.explode("cells").alias("cell"), "*").withColumn("guest", F.col("cell") != F.col("home"))
-        sizes = scratch(there.groupBy("cell", "guest").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
-        there = there.join(F.broadcast(sizes), ["cell", "guest"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        blocks = there.groupBy("cell", "guest", "block").agg(F.collect_list(F.struct("id", "w", "home", F.when(~F.col("guest"), F.col("cells")).alias("cells"), "raw")).alias("m"))
-        blocks = scratch(blocks)
-        home = blocks.filter(~F.col("guest")).select("cell", "block", "m")
-        guests = blocks.filter("guest").select("cell", F.col("m").alias("p"))
-        foreign = home.join(guests, "cell").select(F.lit(0).alias("same"), "p", "m")
-        within = home.join(home.select("cell", F.col("block").alias("other"), F.col("m").alias("p")), "cell").filter(F.col("block") <= F.col("other"))
-        within = within.select(F.when(F.col("block") == F.col("other"), 2).otherwise(1).alias("same"), "p", "m")
-        found = found.unionByName(foreign.unionByName(within).mapInArrow(_met(cosine, kind), "id long, n long, to long"))
+    # The sample and the grid of each length; the lengths of a few vectors need none.
+    lengths = {r["d"]: r["n"] for r in one.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST).collect()}
+    every = max(1, sum(lengths.values()) // SAMPLE)
+    sample = one.filter((F.pmod(F.col("h1"), F.lit(every)) == 0) & F.size("v").isin(list(lengths))).select("v").limit(2 * SAMPLE).toArrow().column("v").to_pylist() if lengths else []
+    indexes = {d: fit(_unit(np.array(own, np.float64)), n, cosine, target) for d, n in lengths.items() if (own := [x for x in sample if len(x) == d])}
+    placed = scratch(one.select("id", "w", "v").mapInArrow(_placed(indexes, kind), T.StructType([T.StructField("id", T.LongType()), T.StructField("w", T.LongType()), T.StructField("home", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("raw", T.BinaryType())])))
+    there = placed.select(F.explode("cells").alias("cell"), "*").withColumn("guest", F.col("cell") != F.col("home"))
+    blocks_of = lambda guest: F.ceil(F.count_if(F.col("guest") == guest) / BLOCK).cast("long")
+    sizes = scratch(there.groupBy("cell").agg(blocks_of(False).alias("homes"), blocks_of(True).alias("guests")))
+    there = there.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))))
+    blocks = there.groupBy("cell", "guest", "block", "homes", "guests").agg(F.collect_list(F.struct("id", "w", "home", F.when(~F.col("guest"), F.col("cells")).alias("cells"), "raw")).alias("m"))
+    blocks = scratch(blocks)
+    home, guests = blocks.filter(~F.col("guest")), blocks.filter("guest")
+    foreign = _dealt(home.filter("guests > 0"), guests.filter("homes > 0"), "homes", "guests").select(F.lit(0).alias("same"), "p", "m")
+    within = _dealt(home, home, "homes", "homes").filter(F.col("block") <= F.col("other"))
+    within = within.select(F.when(F.col("block") == F.col("other"), 2).otherwise(1).alias("same"), "p", "m")
+    found = foreign.unionByName(within).mapInArrow(_met(cosine, kind), "id long, n long, to long")
     found = scratch(found)
     counts = found.filter(F.col("to").isNull()).groupBy("id").agg(F.sum("n").alias("n")).select(F.col("id").alias("rep"), "n")
     parts = components(found.filter(F.col("to").isNotNull()), "id", "to", scratch).select(F.col("node").alias("rep"), "component")

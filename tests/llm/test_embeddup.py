@@ -62,6 +62,42 @@ def test_hot_group_is_cut_into_blocks(spark, clustered, monkeypatch):
     assert run(spark, ids, vectors) == brute(ids, vectors, 0.95)
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "clustered"])
+def test_recall_on_a_grid_of_many_cells(spark, monkeypatch, kind):
+    """Pairs planted right at the threshold, found by cells: at least 0.9 of what brute force finds."""
+    monkeypatch.setattr(embeddup, "PER_CELL", 8)
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(2400, 32)) if kind == "gaussian" else (rng.normal(size=(60, 32))[rng.integers(0, 60, 2400)] + 0.5 * rng.normal(size=(2400, 32)))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.normal(size=(600, 32))
+    away -= (away * base[:600]).sum(1, keepdims=True) * base[:600]
+    cos = rng.uniform(0.95, 0.965, size=(600, 1))
+    near = cos * base[:600] + np.sqrt(1 - cos**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    x = np.float32(np.vstack([base, near])).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    index = embeddup.fit(u, len(u), 0.95)
+    visits = index.visits(u[:500])
+    assert len(index.words[0]) * len(index.words[1]) > 300 and np.mean([len(v) for v in visits]) < 120  # of all cells, few are visited
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddup.near_vectors(df).collect()}
+    want = links.sum(1)
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.97 * want.sum() > 1000
+
+
+def test_many_lengths_and_extreme_numbers(spark):
+    rng = np.random.default_rng(3)
+    vectors = [rng.normal(size=d).tolist() for d in range(1, 40) for _ in range(2)]
+    vectors += [[1e-40, 0.0, 1e-40], [2e-40, 0.0, 2e-40], [3e38, 3e38, 0.0], [1e38, 1e38, 0.0]]
+    vectors = [np.float32(v).astype(float).tolist() for v in vectors]
+    links = {r["vec_id"]: r["n_links"] for r in embeddup.near_vectors(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")).collect()}
+    n = len(vectors)
+    assert [links[n - k] for k in (4, 3, 2, 1)] == [1, 1, 1, 1]
+    assert run(spark, list(range(n - 4)), vectors[:-4]) == brute(list(range(n - 4)), vectors[:-4], 0.95)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [[1.0, 0.0], [1.0, 0.0], [2.0, 0.0], None, [0.0, 0.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [], [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [1.0, 0.0], [3.0], [-1.0, 0.0]]
