@@ -29,6 +29,20 @@ KEPT = 250_000
 LONG = 48
 
 
+#: Code points that are letters by newer tables than the library's, and capitals that the library's newer tables know,
+#: with their small letters. (Its patterns and its lower-casing go by different versions of Unicode.)
+NO_LETTERS = """
+0558 058b-058c 088f 0c5c 0cdc 208f 209d-209f a7cf a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11df1
+16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96
+1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+CAPITALS = {
+    **{0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B},
+    **{x: x + 0x20 for x in range(0x10D50, 0x10D66)},
+    **{x: x + 0x1B for x in range(0x16EA0, 0x16EB9)},
+}
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -66,7 +80,12 @@ class Codec:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank = {(self.vocab[a], self.vocab[b]): (n, self.vocab[a + b]) for n, (a, b) in enumerate(pairs)}
         split = next(x for x in conf["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.find = regex.compile(split["pattern"]["Regex"]).findall
+        pattern = split["pattern"]["Regex"]
+        self.find = regex.compile(pattern).findall
+        no_letters = "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in NO_LETTERS.split())
+        self.rare = regex.compile(f"[{no_letters}{''.join(map(chr, CAPITALS))}]").search
+        pattern = pattern.replace(r"[\p{L}]", rf"[\p{{L}}--[{no_letters}]]").replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{no_letters}]]")
+        self.find_rare = regex.compile(pattern, regex.V1).findall
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         letters = byte_letters()
         self.inner = [self.vocab[x] for x in letters]
@@ -166,8 +185,10 @@ class Codec:
         for n, piece in enumerate(self.special.split(text) if any(x in text for x in self.added) else [text]):
             if n % 2:
                 out.append(self.added[piece])
-            else:
+            elif piece.isascii() or not self.rare(piece):
                 out.frombytes(b"".join(map(known, self.find(self.normalize(piece)))))
+            else:
+                out.frombytes(b"".join(map(known, self.find_rare(self.normalize(piece).translate(CAPITALS)))))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:

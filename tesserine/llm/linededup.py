@@ -60,9 +60,9 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", weight
     all_windows = scratch(windows(df, key, text, weight))
     place = F.xxhash64("doc", "mark", "low_at")
     prints = all_windows.groupBy("low").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("low")
-    live = all_windows.join(prints, "low", "left_semi")
+    # Written, as is `first` below, so that the joins have a shuffle on both sides and AQE can split a frequent fingerprint or window.
+    live = all_windows.join(scratch(prints), "low", "left_semi")
     first = live.groupBy("whole").agg(F.min(F.struct("doc", "mark", "at", "last", "before", "after")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    # Written, so that the join has a shuffle on both sides and AQE can split a frequent window.
     met = live.join(scratch(first), "whole")
     alike = F.col("doc").eqNullSafe(F.col("f.doc")) & (F.col("mark") == F.col("f.mark"))
     met = met.filter(~(alike & (F.col("at") == F.col("f.at"))))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tesserine.llm.common import free_name, text_of
 
-#: Text that one bucket holds on average, and the number of buckets at most; beyond it buckets grow instead.
-BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 200_000
+#: Text that one bucket holds on average; text that one task holds, of several buckets, where there are more tasks than the session asks for.
+BUCKET_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 
 
 def shard_of(key: str, shards: int, seed: int) -> Column:
@@ -35,26 +35,28 @@ def record_size(text: str) -> Column:
 def shuffled_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Every record with `shard`, `slot` (gapless from 0 in each shard) and `grown_shard` (with one shard more).
 
-    Repeated records all stay, each with a slot of its own; null texts count 8 bytes, null keys share a bucket; an empty
+    Repeated records all stay, each with a slot of its own; null texts count 8 bytes; an empty
     table gives no rows. Columns of df called shard, slot or grown_shard are replaced. The permutation depends on the seed,
-    the keys and the number of buckets; records of equal key stand in any order among themselves.
-    The table of bucket sizes has at most MOST_BUCKETS rows and is broadcast.
+    the keys, the texts and the number of buckets; records of equal key and text stand in any order among themselves.
+    The bucket depends on key and text, so that the records of one key, or without a key, are spread over their shard's buckets.
+    The number of buckets grows with the table; their sizes meet them in a join that is a broadcast only if Spark finds them small.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     df = df.drop("shard", "slot", "grown_shard")
     total = df.agg(F.sum(record_size(text)).alias("n")).first()["n"] or 0
-    each = max(1, min(math.ceil(total / (shards * bucket_bytes)), MOST_BUCKETS // shards))
+    each = max(1, math.ceil(total / (shards * bucket_bytes)))
+    tasks = min(shards * each, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_BYTES), shards))
     bucket, many, at = (free_name(df, x) for x in ("bucket", "many", "at"))
-    where = [shard_of(key, shards, seed).alias("shard"), F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit("bucket")), F.lit(each)).cast("int").alias(bucket)]
+    where = [shard_of(key, shards, seed).alias("shard"), F.pmod(F.xxhash64(F.col(key), text_of(text), F.lit(seed), F.lit("bucket")), F.lit(each)).cast("int").alias(bucket)]
 
     sizes = df.select(*where).groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(many))
     before = F.coalesce(F.sum(many).over(Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = sizes.select("shard", bucket, before.alias(at))
 
-    scattered = df.select("*", *where).repartition(shards * each, "shard", bucket).sortWithinPartitions("shard", bucket, key)
+    scattered = df.select("*", *where).repartition(tasks, "shard", bucket).sortWithinPartitions("shard", bucket, key, F.xxhash64(text_of(text)))
     own = scattered.groupBy("shard", bucket).agg(F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias(many))
-    own = own.join(F.broadcast(begins), ["shard", bucket])
+    own = own.join(begins, ["shard", bucket])
     pos, rec = free_name(df, "pos"), free_name(df, "rec")
     rows = own.select("shard", at, F.posexplode(F.shuffle(many, seed)).alias(pos, rec))
     out = rows.select(*[F.col(rec)[c].alias(c) for c in df.columns], "shard", (F.col(at) + F.col(pos)).cast("long").alias("slot"))

@@ -33,6 +33,13 @@ def test_equals_the_library(codec, library, text):
     check(codec, library, text)
 
 
+def test_every_code_point_equals_the_library(codec, library):
+    points = [x for x in range(0x40000) if not 0xD800 <= x < 0xE000] + list(range(0xE0000, 0xE0200))
+    texts = [f"a{chr(x)}b" for x in points]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert [hex(x) for x, t, w in zip(points, texts, want) if list(codec.encode(t)) != w.ids] == []
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.characters(exclude_categories=["Cs", "Cn"]), max_size=80))
 def test_any_text_equals_the_library(codec, library, text):
