@@ -32,7 +32,7 @@ from tesserine.llm.components import components
 HELD, HOT = 300_000, 64
 #: Items whose signatures are computed at a time, unless one set has more; pairs that a gathering task holds before it sends them on.
 ITEMS, PAIRS = 1 << 18, 1 << 19
-#: Cells of a set's sketch at most; sets of one signature that are compared by sketch in one go. Larger groups take the prefix filter.
+#: Cells of a set's sketch at most; sets of one signature, beyond its largest component, that are compared by sketch. More take the prefix filter.
 CELLS, FEW = 4096, 32
 #: Text bytes for each task that gathers signatures.
 TASK_BYTES = 16 << 20
@@ -466,8 +466,9 @@ def _all_links(tests: DataFrame, groups: DataFrame, sketches: DataFrame, docs: D
     """Links (a, b) that connect whatever is similar. tests: (a, b, c), c the signatures shared; groups: (sig, y); sketches: (id, n, sketch).
 
     Pairs whose sketches differ too much are dropped. Of the rest, each document is first tested against the one it shares most
-    signatures with; then only what lies in different components matters. Where a signature spans components, all its
-    documents are compared by sketch, if they are few. Of many, those are tested that pass a positional prefix filter: with items in order of
+    signatures with; then only what lies in different components matters. Where a signature spans components, its documents
+    beyond the largest one are compared by sketch with each other and, block by block, with those of the largest, if they are few. If they are
+    many, the signature's documents are tested that pass a positional prefix filter: with items in order of
     frequency, the first one that similar sets share stands early in both. So no link is lost that could join two components.
     """
     pairs = lambda d: d.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -490,9 +491,10 @@ def _all_links(tests: DataFrame, groups: DataFrame, sketches: DataFrame, docs: D
         return d.join(own, c, "left").withColumn(to, F.coalesce("_part", c)).drop("_part")
 
     def spanning(d: DataFrame) -> DataFrame:
-        """The rows (sig, y, part) of signatures that lie in several components, with their number."""
-        several = d.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("many")).filter("low < high").select("sig", "many")
-        return d.join(several, "sig")
+        """The rows (sig, y, part) of signatures that lie in several components, with the signature's largest component and how many rows are in it and beyond it."""
+        sizes = d.groupBy("sig", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"))
+        sizes = sizes.filter(F.col("all") > F.col("top.n")).select("sig", F.col("top.part").alias("main"), F.col("top.n").alias("inside"), (F.col("all") - F.col("top.n")).alias("beyond"))
+        return d.join(sizes, "sig")
 
     able = scratch(_possible(tests, sketches, num, den))
     best = scratch(able.groupBy("b").agg(F.max(F.struct("c", "a"))["a"].alias("a")).select("a", "b"))
@@ -505,10 +507,13 @@ def _all_links(tests: DataFrame, groups: DataFrame, sketches: DataFrame, docs: D
 
     around = scratch(spanning(placed(groups, "y")))
     drawn = sketches.select(F.col("id").alias("y"), "n", "sketch")
-    few = around.filter(F.col("many") <= FEW).join(drawn, "y").groupBy("sig").agg(F.collect_list(F.struct("y", "n", "part", "sketch")).alias("m")).select("m")
-    left = scratch(few.mapInArrow(_among(num, den), "a long, b long").distinct())
+    few = around.filter(F.col("beyond") <= FEW).join(drawn, "y").withColumn("row", F.struct("y", "n", "part", "sketch"))
+    beyond = few.filter(F.col("part") != F.col("main")).groupBy("sig").agg(F.collect_list("row").alias("o"))
+    block = F.pmod(F.xxhash64("y"), F.ceil(F.col("inside") / FEW).cast("long"))
+    inside = few.filter(F.col("part") == F.col("main")).withColumn("block", block).groupBy("sig", "block").agg(F.collect_list("row").alias("m"))
+    left = scratch(inside.join(beyond, "sig").select(F.concat("m", "o").alias("m")).mapInArrow(_among(num, den), "a long, b long").distinct())
 
-    many = around.filter(F.col("many") > FEW).select("sig", "y", "part")
+    many = around.filter(F.col("beyond") > FEW).select("sig", "y", "part")
     if not many.isEmpty():
         sets, sets_path = scratch.write(sets_of(many.select(F.col("y").alias("id"))))
         items = sets.select("id", F.explode("items").alias("item"))

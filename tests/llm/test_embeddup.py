@@ -44,7 +44,7 @@ def clustered():
     return np.float32(np.vstack([base, near])).astype(float)
 
 
-def test_links_components_and_recall(spark, clustered):
+def test_links_and_components(spark, clustered):
     vectors = [v.tolist() for v in clustered]
     ids = [3 * i + 1 for i in range(len(vectors))]
     want, got = brute(ids, vectors, 0.95), run(spark, ids, vectors)
@@ -63,7 +63,7 @@ def test_hot_group_is_cut_into_blocks(spark, clustered, monkeypatch):
 
 
 @pytest.mark.parametrize("kind", ["gaussian", "clustered"])
-def test_recall_on_a_grid_of_many_cells(spark, monkeypatch, kind):
+def test_share_of_links_found_on_a_grid_of_many_cells(spark, monkeypatch, kind):
     """Pairs planted right at the threshold, found by cells: at least 0.9 of what brute force finds."""
     monkeypatch.setattr(embeddup, "PER_CELL", 8)
     rng = np.random.default_rng(11)
