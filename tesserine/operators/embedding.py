@@ -134,9 +134,9 @@ class ProgramEmbedder:
         for k in range(0, len(texts), BATCH):
             part = [one_line(t) for t in texts[k : k + BATCH]]
             with tempfile.NamedTemporaryFile("w", suffix=".txt", encoding="utf-8") as f:
-                f.write(tx.SEPARATOR.join(part))
+                f.write(tx.SEPARATOR.join(part) + "\n")
                 f.flush()
-                done = subprocess.run([self.program, "--model", self.model, "--file", f.name, "--separator", tx.SEPARATOR, "--embd-output-format", "json", "--log-disable"], capture_output=True, check=False)
+                done = subprocess.run([self.program, "--model", self.model, "--file", f.name, "--embd-normalize", "2", "--embd-output-format", "json", "--embd-separator", tx.SEPARATOR], capture_output=True, check=False)
             if done.returncode:
                 raise RuntimeError(f"{self.program}: {done.stderr.decode(errors='replace').strip()}")
             got = parse_program_output(done.stdout)

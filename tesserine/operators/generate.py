@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import shutil
 import subprocess
+import tempfile
 import warnings
 from collections.abc import Iterator, Sequence
 from typing import Protocol
@@ -91,13 +92,16 @@ class ProgramGenerator:
         import codecs
 
         decode = codecs.getincrementaldecoder("utf-8")("replace").decode
-        run = subprocess.Popen(self.arguments(prompt, options), stdout=subprocess.PIPE, stderr=subprocess.PIPE)
-        try:
-            while part := run.stdout.read1(256):
-                yield decode(part)
-            if run.wait():
-                raise RuntimeError(f"{self.program}: {run.stderr.read().decode(errors='replace').strip()}")
-        finally:
-            if run.poll() is None:
-                run.kill()
-                run.wait()
+        with tempfile.TemporaryFile() as said:  # a pipe that nobody reads would fill and stop the program
+            run = subprocess.Popen(self.arguments(prompt, options), stdout=subprocess.PIPE, stderr=said)
+            try:
+                while part := run.stdout.read1(256):
+                    yield decode(part)
+                if run.wait():
+                    said.seek(0)
+                    raise RuntimeError(f"{self.program}: {said.read().decode(errors='replace').strip()}")
+            finally:
+                if run.poll() is None:
+                    run.kill()
+                    run.wait()
+                run.stdout.close()

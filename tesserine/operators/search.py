@@ -83,8 +83,8 @@ def sparse_top_k(docs: DataFrame, query: Column | DataFrame, k: int, key: str) -
     return scores.orderBy(F.desc("score"), key).limit(_checked(k))
 
 
-def recall(found: DataFrame, truth: DataFrame, query_key: str, key: str) -> DataFrame:
-    """(query_key, recall): the share of the true hits that were found."""
+def hit_share(found: DataFrame, truth: DataFrame, query_key: str, key: str) -> DataFrame:
+    """(query_key, share): the share of the true hits that were found."""
     a = found.groupBy(query_key).agg(F.collect_set(key).alias("f"))
     b = truth.groupBy(query_key).agg(F.collect_set(key).alias("t"))
-    return b.join(a, query_key, "left").select(query_key, (F.coalesce(F.size(F.array_intersect("f", "t")), F.lit(0)) / F.size("t")).alias("recall"))
+    return b.join(a, query_key, "left").select(query_key, (F.coalesce(F.size(F.array_intersect("f", "t")), F.lit(0)) / F.size("t")).alias("share"))

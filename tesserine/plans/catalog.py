@@ -78,31 +78,73 @@ def vec_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit.select("vec_id", F.round(vx.norm(F.col("x")), 5).alias("norm"), F.round(F.get("x", F.lit(0)).cast("double"), 5).alias("head"))
 
 
-@query()
+@query("""SELECT q.vec_id AS query_id, v.vec_id, (row_number() OVER (PARTITION BY q.vec_id ORDER BY
+  round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id))::INTEGER AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5""")
 def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     graphs = hnsw.build(v, max(1, -(-v.count() // hnsw.SHARD)), key="vec_id", vec="embedding")
     q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    return hnsw.search(graphs, q, 5, "vec_id")
+    return hnsw.search(graphs, q, 5, "vec_id").select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
+
 
+_RANKED = """SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product({a}, {b}), 6) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0"""
+_HALF = [f"{x}.embedding[1:32]::DOUBLE[]" for x in "qv"]
+_FULL = [f"{x}.embedding::DOUBLE[]" for x in "qv"]
 
-@query("SELECT count(*) AS queries, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0")
-def ann_recall_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = search.recall(ann_topk(spark, sf_dir), vec_topk_batch(spark, sf_dir), "query_id", "vec_id")
-    return each.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.94).alias("recall_reached"))
+
+@query(f"""WITH found AS (SELECT query_id, vec_id FROM ({_RANKED.format(a=_HALF[0], b=_HALF[1])}) WHERE rank <= 5), truth AS (SELECT query_id, vec_id FROM ({_RANKED.format(a=_FULL[0], b=_FULL[1])}) WHERE rank <= 5),
+  each AS (SELECT query_id, count(found.vec_id) / count(*) AS share FROM truth LEFT JOIN found USING (query_id, vec_id) GROUP BY query_id) SELECT count(*) AS queries, round(avg(share), 6) AS share FROM each""")
+def hit_share_of_half_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean share of the true five that search by the first half of each vector finds."""
+    v = table(spark, sf_dir, "embeddings")
+    h = v.select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))
+    q = h.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    each = search.hit_share(search.batch_top_k(h, q, 5, "vec_id", "query_id", "embedding", decimals=6), vec_topk_batch(spark, sf_dir), "query_id", "vec_id")
+    return each.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("share"), 6).alias("share"))
 
 
-@query("SELECT count(*) AS queries, 1.0::DOUBLE AS top1_rate FROM embeddings WHERE vec_id % 50 = 0")
+@query(f"SELECT count(*) AS queries, avg(CASE WHEN query_id = vec_id THEN 1.0 ELSE 0.0 END)::DOUBLE AS top1_rate FROM ({_RANKED.format(a=_HALF[0], b=_HALF[1])}) WHERE rank = 1")
 def top1_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = vec_topk_batch(spark, sf_dir).filter("rank = 1")
+    """How often the best hit by the first half of each vector is the query itself."""
+    h = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))
+    q = h.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    best = search.batch_top_k(h, q, 5, "vec_id", "query_id", "embedding", decimals=6).filter("rank = 1")
     return best.agg(F.count(F.lit(1)).alias("queries"), F.avg(F.when(F.col("query_id") == F.col("vec_id"), 1.0).otherwise(0.0)).alias("top1_rate"))
 
 
-@query("SELECT vec_id, len(embedding)::INTEGER AS dims FROM embeddings WHERE len(embedding) = 64")
-def json_embedding_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = table(spark, sf_dir, "embeddings").select("vec_id", F.to_json(F.struct(F.array(F.struct("embedding")).alias("data"))).alias("raw"))
-    got = F.from_json("raw", "data array<struct<embedding: array<float>>>")["data"]
-    return shapes.select("vec_id", F.size(F.get(got, F.lit(0))["embedding"]).alias("dims"))
+def _parsed(spark: SparkSession, sf_dir: str, shapes: list[str], parser: str) -> DataFrame:
+    """(vec_id, dims, head, total) of vectors written in one of the shapes by turns, and read by the embedders' parser."""
+    numbers = F.transform("embedding", lambda x: F.format_string("%.7f", x.cast("double")))
+    flat = F.concat(F.lit("["), F.array_join(numbers, ", "), F.lit("]"))
+    made = {
+        "list": F.concat(F.lit('{"data": [{"embedding": '), flat, F.lit("}]}")), "object": F.concat(F.lit('{"embedding": '), flat, F.lit("}")),
+        "objects": F.concat(F.lit('[{"index": 0, "embedding": '), flat, F.lit("}]")), "inner": F.concat(F.lit('[{"index": 0, "embedding": ['), flat, F.lit("]}]")),
+        "nested": F.concat(F.lit("["), flat, F.lit("]")), "flat": flat, "rows": F.concat(F.lit("a line of words\n"), F.array_join(numbers, " "), F.lit("\n")),
+    }
+    raw = F.get(F.array(*[made[x] for x in shapes]), (F.col("vec_id") % len(shapes)).cast("int"))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        for batch in batches:
+            got = [getattr(embedding, parser)(x.encode()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in got], pa.int32()), pa.array([x[0] for x in got], pa.list_(pa.float64()))], names=["vec_id", "n", "v"])
+
+    out = table(spark, sf_dir, "embeddings").select("vec_id", raw.alias("raw")).mapInArrow(run, "vec_id long, n int, v array<double>")
+    return out.select("vec_id", "n", F.size("v").alias("dims"), F.round(F.get("v", F.lit(0)), 5).alias("head"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+_PARSED = "SELECT vec_id, 1::INTEGER AS n, len(embedding)::INTEGER AS dims, round(round(embedding[1]::DOUBLE, 7), 5) AS head, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: round(x, 7))), 4) AS total FROM embeddings"
+
+
+@query(_PARSED)
+def program_output_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir, ["list", "object", "nested", "flat", "rows"], "parse_program_output")
+
+
+@query(_PARSED)
+def server_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir, ["objects", "object", "list", "inner"], "parse_server_response")
 
 
 # --- bag of words --------------------------------------------------------------------------------------------------
@@ -181,6 +223,33 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.chunk_id(tx.trim(F.col("text")), F.concat(F.lit("doc/"), "doc_id")).alias("id"))
 
 
+_PIECE = "list_filter(range(s, e), lambda i: x[i + 1] NOT IN ('09', '0A', '0B', '0C', '0D', '20'))"
+
+
+@query(f"""WITH RECURSIVE raw AS (SELECT doc_id, x, len(x) AS n, list_filter(range(1, len(x) + 1), lambda i: x[i] = '0A') AS nl FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS x FROM documents)),
+  breaks AS (SELECT *, list_filter(range(1, len(nl)), lambda k: len(list_filter(x[nl[k] + 1:nl[k + 1] - 1], lambda v: v NOT IN ('0D', '20', '09'))) = 0) AS br FROM raw),
+  split AS (SELECT doc_id, unnest(list_zip(list_concat([0], list_transform(br, lambda k: nl[k + 1])), list_concat(list_transform(br, lambda k: nl[k] - 1), [n]))) AS z FROM breaks),
+  inner_ AS (SELECT doc_id, {_PIECE} AS own FROM (SELECT doc_id, x, z[1] AS s, z[2] AS e FROM split JOIN raw USING (doc_id))),
+  paragraphs AS (SELECT doc_id, own[1] AS s, own[-1] + 1 AS e FROM inner_ WHERE len(own) > 0),
+  cuts AS (SELECT doc_id, s, e, list_filter(range(s + 2, e + 1), lambda i: x[i - 1] IN ('2E', '3F', '21') AND x[i] IN ('20', '0A')) AS c FROM paragraphs JOIN raw USING (doc_id) WHERE e - s > 512),
+  steps AS (SELECT doc_id, s, e, s AS go, (SELECT c FROM cuts k WHERE k.doc_id = p.doc_id AND k.s = p.s) AS d FROM paragraphs p WHERE e - s > 512
+    UNION ALL SELECT doc_id, s, e, d[j - 1], d[j:] FROM (SELECT *, list_filter(range(2, len(d) + 1), lambda j: d[j] - go > 512)[1] AS j FROM steps) WHERE j IS NOT NULL),
+  runs AS (SELECT doc_id, s AS para, go AS s, coalesce(lead(go) OVER (PARTITION BY doc_id, s ORDER BY go), e) AS e FROM steps),
+  trimmed AS (SELECT doc_id, {_PIECE} AS own FROM runs JOIN raw USING (doc_id)),
+  fitting AS (SELECT doc_id, s, e FROM paragraphs WHERE e - s <= 512 UNION ALL SELECT doc_id, own[1], own[-1] + 1 FROM trimmed WHERE len(own) > 0),
+  pieces AS (SELECT doc_id, s AS s, e AS e FROM fitting WHERE e - s <= 512 UNION ALL SELECT doc_id, s + 448 * k, least(s + 448 * k + 512, e) FROM (SELECT *, unnest(range(0, greatest(0, ceil((e - s - 512) / 448.0))::BIGINT + 1)) AS k FROM fitting WHERE e - s > 512)),
+  listed AS (SELECT *, row_number() OVER own AS i, sum(e - s + 2) OVER own AS upto FROM pieces WINDOW own AS (PARTITION BY doc_id ORDER BY s)),
+  nexts AS (SELECT a.doc_id, a.i, a.upto - (a.e - a.s + 2) AS before, coalesce(min(b.i), max(a.i) OVER (PARTITION BY a.doc_id) + 1) AS next FROM listed a LEFT JOIN listed b ON a.doc_id = b.doc_id AND b.i > a.i AND b.i <= a.i + 600 AND b.upto - (a.upto - (a.e - a.s + 2)) - 2 > 512 GROUP BY a.doc_id, a.i, a.upto, a.e, a.s),
+  groups AS (SELECT doc_id, i, next FROM nexts WHERE i = 1 UNION ALL SELECT n.doc_id, n.i, n.next FROM groups g JOIN nexts n ON n.doc_id = g.doc_id AND n.i = g.next),
+  bodies AS (SELECT g.doc_id, g.i, min(l.s) AS s, arg_max(l.e, l.i) AS e, string_agg(array_to_string(x[l.s + 1:l.e], ''), '0A0A' ORDER BY l.i) AS h FROM groups g JOIN listed l ON l.doc_id = g.doc_id AND l.i >= g.i AND l.i < g.next JOIN raw r ON r.doc_id = g.doc_id GROUP BY g.doc_id, g.i),
+  kept AS (SELECT *, row_number() OVER own - 1 AS ord, lag(right(h, 128)) OVER own AS tail FROM bodies WHERE strlen(h) >= 100 WINDOW own AS (PARTITION BY doc_id ORDER BY i)),
+  whole AS (SELECT *, coalesce(tail || '0A0A', '') || h AS w FROM kept)
+  SELECT 'doc/' || doc_id AS source, ord::INTEGER AS ord, substr(sha256(unhex(substr(w, 1, 128) || '00' || hex(encode('doc/' || doc_id)))), 1, 32) AS id, s::BIGINT AS "start", e::BIGINT AS "end" FROM whole""")
+def chunk_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of every document, by its id, which is made of its first bytes, and its place."""
+    return chunk_documents(spark, sf_dir).select("source", "ord", "id", "start", "end")
+
+
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("path"), F.col("text").alias("content"))
@@ -235,19 +304,19 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-@query(f"""SELECT doc_id, pos, translate(regexp_replace('*' || left(line, 12) || '* [' || right(line, 9) || '](http://x/' || doc_id || ') `c_d`', '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '*_`', '') AS plain FROM {_LINES}""")
+@query(f"""SELECT doc_id, pos, translate(regexp_replace('*' || line || '* [' || line || '](http://x/' || doc_id || ') `c_d`', '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '*_`', '') AS plain FROM {_LINES}""")
 def md_inline_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.concat(F.lit("*"), F.left("line", F.lit(12)), F.lit("* ["), F.right("line", F.lit(9)), F.lit("](http://x/"), F.col("doc_id"), F.lit(") `c_d`"))
+    marked = F.concat(F.lit("*"), F.col("line"), F.lit("* ["), F.col("line"), F.lit("](http://x/"), F.col("doc_id"), F.lit(") `c_d`"))
     return lines(spark, sf_dir).select("doc_id", "pos", tx.strip_inline(marked).alias("plain"))
 
 
-@query(f"""SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN regexp_replace(line, '^\\s+|\\s+$', '', 'g') WHEN 3 THEN '' ELSE regexp_replace(line, '^\\s+|\\s+$', '', 'g') END AS plain FROM {_LINES}
-  WHERE NOT regexp_matches(regexp_replace(line, '^\\s+', ''), '^([-*+#>]|___)')""")
+@query(f"""SELECT doc_id, pos, CASE WHEN l IN ('---', '***', '___') THEN '' WHEN l[1] = '#' THEN regexp_replace(ltrim(l, '#'), '^\\s+|\\s+$', '', 'g')
+    WHEN l[1] = '>' OR regexp_matches(q, '^[-*+] ') THEN regexp_replace(regexp_replace(q, '^[-*+] ', ''), '^\\s+|\\s+$', '', 'g') ELSE q END AS plain
+  FROM (SELECT doc_id, pos, l, regexp_replace(l, '^(>\\s*)+', '') AS q FROM (SELECT doc_id, pos, trim(['## ' || line, '> ' || line, '  - ' || line, '---', line][1 + pos % 5], ' ' || chr(9)) AS l FROM {_LINES}))""")
 def md_block_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("pos") % 4
-    marked = F.when(kind == 0, F.concat(F.lit("## "), F.col("line"))).when(kind == 1, F.concat(F.lit("> "), F.col("line"))).when(kind == 2, F.concat(F.lit("  - "), F.col("line"))).otherwise(F.lit("---"))
-    clean = lines(spark, sf_dir).filter(~F.regexp_replace("line", r"^\s+", "").rlike(r"^([-*+#>]|___)"))
-    return clean.select("doc_id", "pos", tx.strip_block(marked).alias("plain"))
+    line = F.col("line")
+    kinds = F.array(F.concat(F.lit("## "), line), F.concat(F.lit("> "), line), F.concat(F.lit("  - "), line), F.lit("---"), line)
+    return lines(spark, sf_dir).select("doc_id", "pos", tx.strip_block(F.get(kinds, (F.col("pos") % 5).cast("int"))).alias("plain"))
 
 
 @query(f"""SELECT doc_id, pos, coalesce(starts_with(line, 'func ') AND before IS NOT NULL AND regexp_matches(before, '\\S'), false) AS breaks FROM (SELECT doc_id, pos, line, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before

@@ -1,9 +1,11 @@
 import math
+import sys
 
 import numpy as np
 import pytest
 
 from tesserine.operators import embedding as em
+from tesserine.operators import generate
 
 
 def test_similar_texts_are_closer():
@@ -86,3 +88,32 @@ def test_server_embedder_over_http():
     e = em.ServerEmbedder(f"http://127.0.0.1:{server.server_port}")
     assert e.dims() == 2 and e.embed(["abc"] * 40) == [[1, 0]] * 40
     server.shutdown()
+
+
+def _program(path, body):
+    path.write_text(f"#!{sys.executable}\nimport sys\n{body}")
+    path.chmod(0o755)
+    return str(path)
+
+
+def test_program_embedder_passes_the_flags_that_print_vectors(tmp_path):
+    body = """
+args = sys.argv[1:]
+assert "--log-disable" not in args and args[args.index("--embd-normalize") + 1] == "2" and args[args.index("--embd-output-format") + 1] == "json", args
+parts = open(args[args.index("--file") + 1]).read().rstrip("\\n").split(args[args.index("--embd-separator") + 1])
+print([[float(len(x)), 1.0] for x in parts])
+"""
+    made = em.ProgramEmbedder("m", _program(tmp_path / "embed", body))
+    assert made.dims() == 2
+    got = made.embed(["ab", "a line\nand another"])
+    assert len(got) == 2 and got[0][0] / got[0][1] == pytest.approx(2.0)
+
+
+def test_program_generator_that_logs_much_does_not_stall(tmp_path):
+    body = """
+sys.stderr.write("log " * 500_000)
+sys.stderr.flush()
+print("one two")
+"""
+    made = generate.ProgramGenerator("m", _program(tmp_path / "gen", body))
+    assert "".join(made.stream("p", generate.GenOptions())).strip() == "one two"

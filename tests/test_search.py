@@ -20,7 +20,7 @@ def test_a_vector_finds_itself(spark):
     assert hit["chunk_idx"] == 17 and abs(hit["score"] - 1) < 1e-4
 
 
-def test_graph_reaches_recall():
+def test_graph_finds_the_hits():
     x, q = vectors(2000, 64, 7), vectors(200, 64, 1234)
     g = hnsw.Graph.load(hnsw.Graph.build(np.arange(2000), x, HnswConfig(seed=99)).dump())
     best = (q @ x.T).argmax(1)
@@ -42,7 +42,7 @@ def test_sharded_search_agrees_with_the_exact_one(spark):
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, vec array<float>")
     near = hnsw.search(hnsw.build(df, 3), queries, 5)
     true = search.batch_top_k(df, queries, 5, "chunk_idx", "query_id")
-    assert search.recall(near, true, "query_id", "chunk_idx").agg({"recall": "avg"}).first()[0] >= 0.94
+    assert search.hit_share(near, true, "query_id", "chunk_idx").agg({"share": "avg"}).first()[0] >= 0.94
     assert near.agg({"rank": "max"}).first()[0] == 5
 
 
