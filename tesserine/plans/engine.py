@@ -51,6 +51,23 @@ def changes(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     return now.join(was, "path", "full_outer").select("path", F.coalesce("now", "was").alias("modified_ns"), action.alias("action"))
 
 
+def _changed(batches):  # noqa: ANN001, ANN202
+    """(path, gone) of the files that are no longer there or have another time of change."""
+    import os
+
+    import pyarrow as pa
+
+    for batch in batches:
+        out: list[tuple[str, bool]] = []
+        for path, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            try:
+                if os.stat(path).st_mtime_ns // 1_000_000 != at // 1_000_000:
+                    out.append((path, False))
+            except FileNotFoundError:
+                out.append((path, True))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([g for _, g in out], pa.bool_())], names=["path", "gone"])
+
+
 class Engine:
     def __init__(self, spark: SparkSession, store: str, embedder: embedding.Embedder | None = None, generator: generate.Generator | None = None, index_type: str = "hnsw", config: ChunkConfig | None = None, extensions: Sequence[str] = (), options: GenOptions | None = None, hnsw_config: HnswConfig | None = None, pdf: extract.PdfReader = extract.pdf_pages):
         self.spark, self.store = spark, Store(spark, store, index_type, hnsw_config)
@@ -96,13 +113,12 @@ class Engine:
 
     def refresh(self, paths: Sequence[str] = ()) -> RefreshResult:
         """Drop files that are gone, index again what changed, and index what is new under the paths."""
-        import os
-
         with self.store.writing():
-            known = [(r["path"], r["modified_ns"]) for r in self.store.snapshot().manifest.collect()]
-            gone = [p for p, _ in known if not os.path.exists(p)]
+            # Every known file is looked at where the tasks run; the driver sees only those that are gone or changed.
+            other = self.store.snapshot().manifest.select("path", "modified_ns").mapInArrow(_changed, "path string, gone boolean").collect()
+            gone = [r["path"] for r in other if r["gone"]]
+            moved = [r["path"] for r in other if not r["gone"]]
             self.store.remove_files(gone)
-            moved = [p for p, t in known if p not in set(gone) and os.stat(p).st_mtime_ns // 1_000_000 != t // 1_000_000]
             todo = [*paths, *moved]
             done = self._index(todo, files.list_files(self.spark, todo, self.extensions)) if todo else []
         return RefreshResult(sorted(gone), done)
