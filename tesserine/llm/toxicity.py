@@ -40,7 +40,7 @@ def terms_of(text: str) -> set[str]:
     """A text's words, ended by $, and their stems."""
     out = set()
     for w in set(WORD.findall(text.lower())):
-        out.add(w[:24] + ENDS)
+        out.add(w + ENDS)
         out.update(w[:k] for k in STEMS if len(w) > k)
     return out
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tesserine.llm import langid, queries
 from tests.llm.conftest import ALL, SF, keys
 
@@ -10,7 +12,6 @@ def test_documents_are_identified(spark, docs):
 
 
 def test_text_alone_identifies_held_out_documents(spark, docs):
-    from pyspark.sql import functions as F
 
     known = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
     label = {r["doc_id"]: r["lang"] for r in docs.collect()}
@@ -57,3 +58,21 @@ def test_a_rare_language_is_in_the_model(spark):
     assert model.languages == ("el", "en")
     rows = langid.identify(df.filter("lang = 'el'"), model).collect()
     assert len(rows) == 6 and all(r["kept"] and r["language"] == "el" for r in rows)
+
+
+def test_held_out_documents_by_text_and_host_alone(spark):
+    """The model sees half of the documents; the others are identified without what they declare."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    model = langid.fit(docs.filter("half = 0"))
+    out = langid.identify(docs.filter("half = 1"), model, host=F.col("source")).withColumnRenamed("doc_id", "id")
+    both = out.join(docs.filter("length(text) >= 40 and lang is not null"), F.col("id") == F.col("doc_id"))
+    n, kept, right = both.agg(F.count("*"), F.count_if("kept"), F.count_if(F.col("language") == F.col("lang"))).first()
+    print(n, kept, right)
+    assert n > 300 and kept >= 0.97 * n and right >= 0.97 * n
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(1, "abc def ghi", "xx"), (2, "abc def ghi", "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.identify(df, langid.fit(df)).collect()
+    assert {r["language"] for r in out} == {"xx"} and {round(r["confidence"], 6) for r in out} == {0.5}

@@ -3,6 +3,7 @@ import zlib
 
 import pytest
 
+from tesserine.llm import queries
 from tesserine.llm import toxicity as tx
 from tests.llm.conftest import ALL, keys
 
@@ -88,3 +89,17 @@ def test_odd_rows(odd, none, labelled):
     blank = tx.fit(none, labels)
     assert {r["score"] for r in tx.score(odd, blank).collect()} == {0.5}
     assert keys(tx.toxicity(odd, labels).collect()) == ALL
+
+
+def test_query_on_held_out_documents(spark):
+    """Labels of the third that is held out are never learned from: most of its toxic documents are caught, clean ones left alone."""
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op7_toxicity(spark, sf).collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+    by = {r["doc_id"]: r["predicted"] for r in rows if r["held_out"]}
+    seen = [(bool(r["toxic"]), by[r["doc_id"]]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["doc_id"] in by]
+    caught, false = [p for t, p in seen if t], [p for t, p in seen if not t]
+    print(len(caught), sum(caught), len(false), sum(false))
+    assert sum(caught) >= 0.7 * len(caught) > 0 and sum(false) <= 0.02 * len(false)
