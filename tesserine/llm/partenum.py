@@ -21,7 +21,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ HELD, HOT = 300_000, 64
 ITEMS, PAIRS = 1 << 18, 1 << 19
 #: Cells of a set's sketch at most; sets of one signature, beyond its largest component, that are compared by sketch. More take the prefix filter.
 CELLS, FEW = 4096, 32
+#: Cells of the table of items' weights, by which the prefix filter orders them: a byte each.
+WEIGHTS = 1 << 24
 #: Text bytes for each task that gathers signatures.
 TASK_BYTES = 16 << 20
 SPLITS = 16
@@ -462,6 +464,50 @@ def _among(num: int, den: int):  # noqa: ANN202
     return run
 
 
+def _weights(sets: DataFrame) -> np.ndarray:
+    """What each cell of items weighs: 0 if it holds one occurrence at most, else more the more it holds, by eighths of powers of two.
+
+    The table has WEIGHTS bytes whatever the number of items; at most that many rows (cell, weight) come to the driver.
+    """
+    cells = sets.select(F.explode("items").alias("item")).groupBy(F.col("item").bitwiseAND(F.lit(WEIGHTS - 1)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    found = cells.filter("n > 1").select("cell", F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("short").alias("weight")).toArrow()
+    table = np.zeros(WEIGHTS, np.uint8)
+    table[found.column("cell").to_numpy()] = found.column("weight").to_numpy()
+    return table
+
+
+def _heads(table: np.ndarray, num: int, den: int):  # noqa: ANN202
+    """Each set's size and the items, with their ranks, of which a similar set holds one; no row if too few items can be in another set.
+
+    Items are in order of weight, then of hash; items of weight 0 are in no other set and come first.
+    """
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        for batch in batches:
+            items, ends = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            own, sizes, found, ranks = [], [], [], []
+            for k, name in enumerate(batch.column(0).to_pylist()):
+                x = items[ends[k] : ends[k + 1]]
+                n, weight = len(x), table[x & (len(table) - 1)]
+                x, weight = x[weight > 0], weight[weight > 0]
+                if den * len(x) < num * n:
+                    continue
+                most = (den - num) * n // den + 1 - (n - len(x))
+                own.append(name)
+                sizes.append(n)
+                found.append(x[np.lexsort((x, weight))][: max(0, most)])
+                ranks.append(n - len(x) + 1 + np.arange(len(found[-1])))
+            cut = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+            flat = [pa.array(np.concatenate([np.empty(0, np.int64), *c]), pa.int64()) for c in (found, ranks)]
+            head = pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays(flat, names=["item", "rank"]))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sizes, pa.int64()), head], names=["id", "n", "head"])
+        settle()
+
+    return run
+
+
 def _all_links(tests: DataFrame, groups: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, scratch: Scratch, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect whatever is similar. tests: (a, b, c), c the signatures shared; groups: (sig, y); sketches: (id, n, sketch).
 
@@ -469,7 +515,7 @@ def _all_links(tests: DataFrame, groups: DataFrame, sketches: DataFrame, docs: D
     signatures with; then only what lies in different components matters. Where a signature spans components, its documents
     beyond the largest one are compared by sketch with each other and, block by block, with those of the largest, if they are few. If they are
     many, the signature's documents are tested that pass a positional prefix filter: with items in order of
-    frequency, the first one that similar sets share stands early in both. So no link is lost that could join two components.
+    weight (their cell's frequency; any order that is the same for all sets is right), the first one that similar sets share stands early in both. So no link is lost that could join two components.
     """
     pairs = lambda d: d.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -516,20 +562,12 @@ def _all_links(tests: DataFrame, groups: DataFrame, sketches: DataFrame, docs: D
     many = around.filter(F.col("beyond") > FEW).select("sig", "y", "part")
     if not many.isEmpty():
         sets, sets_path = scratch.write(sets_of(many.select(F.col("y").alias("id"))))
-        items = sets.select("id", F.explode("items").alias("item"))
-        again, again_path = scratch.write(items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
-        shared, shared_path = scratch.write(items.join(again, "item"))  # items that one document alone has tell no pair
-        scratch.drop(again_path)
-        has = shared.groupBy("id").agg(F.count(F.lit(1)).alias("has"))
-        full = scratch(sets.select("id", F.size("items").alias("n")).join(has, "id").filter(den * F.col("has") >= num * F.col("n")))
+        ranked = scratch(sets.mapInArrow(_heads(_weights(sets), num, den), "id long, n long, head array<struct<item: long, rank: long>>"))
         scratch.drop(sets_path)
-        many = scratch(spanning(many.join(full.select(F.col("id").alias("y")), "y", "left_semi")).select("sig", "y", "part"))
-        part_of = many.select(F.col("y").alias("id"), "part").distinct().join(full, "id")
-        rank = F.col("n") - F.col("has") + F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))  # after those that it alone has
-        room = F.floor((den - num) * F.col("n") / den)  # items that the other may lack
-        head = shared.join(part_of, "id").withColumn("rank", rank).filter(F.col("rank") <= room + 1).select("id", "item", "n", "rank", "part")
+        many = scratch(spanning(many.join(ranked.select(F.col("id").alias("y")), "y", "left_semi")).select("sig", "y", "part"))
+        part_of = many.select(F.col("y").alias("id"), "part").distinct()
+        head = ranked.join(part_of, "id").select("id", "n", "part", F.inline("head"))
         head, head_path = scratch.write(head)
-        scratch.drop(shared_path)
         mixed = scratch(head.groupBy("item").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("item"))
         head = head.join(mixed, "item", "left_semi")
         other = head.select(F.col("id").alias("y"), "item", F.col("n").alias("m"), F.col("rank").alias("at"), F.col("part").alias("there"))

@@ -73,6 +73,8 @@ def test_near_copies_around_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(partenum, "PAIRS", 50)
     monkeypatch.setattr(partenum, "FEW", 2)
     assert run(spark, rows) == want
+    monkeypatch.setattr(partenum, "WEIGHTS", 64)  # so crowded that every cell weighs something
+    assert run(spark, rows) == want
 
 
 def test_one_document_beside_a_hot_chunk(spark, monkeypatch):
