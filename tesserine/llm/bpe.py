@@ -83,7 +83,8 @@ class Codec:
         pattern = split["pattern"]["Regex"]
         self.find = regex.compile(pattern).findall
         no_letters = "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in NO_LETTERS.split())
-        self.rare = regex.compile(f"[{no_letters}{''.join(map(chr, CAPITALS))}]").search
+        ranges = [[int(x, 16) for x in part.split("-")] for part in NO_LETTERS.split()]
+        self.rare = frozenset(chr(c) for r in ranges for c in range(r[0], r[-1] + 1)) | frozenset(map(chr, CAPITALS))
         pattern = pattern.replace(r"[\p{L}]", rf"[\p{{L}}--[{no_letters}]]").replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{no_letters}]]")
         self.find_rare = regex.compile(pattern, regex.V1).findall
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
@@ -93,7 +94,7 @@ class Codec:
         self.joined = self._joined(letters)
         self.words = Words(self)
         self.parts: dict[tuple[int, ...], tuple[int, ...]] = {}
-        self.space = regex.compile(r"\s+")
+        self.space = regex.compile(r"[^\S ]\s*| \s+")  # all white space but a single blank
 
     def _joined(self, letters: list[str]) -> set[tuple[int, int]]:
         """The pairs of neighbouring one-byte symbols inside some token; every other pair is a forced boundary."""
@@ -185,7 +186,7 @@ class Codec:
         for n, piece in enumerate(self.special.split(text) if any(x in text for x in self.added) else [text]):
             if n % 2:
                 out.append(self.added[piece])
-            elif piece.isascii() or not self.rare(piece):
+            elif piece.isascii() or self.rare.isdisjoint(set(piece)):
                 out.frombytes(b"".join(map(known, self.find(self.normalize(piece)))))
             else:
                 out.frombytes(b"".join(map(known, self.find_rare(self.normalize(piece).translate(CAPITALS)))))
