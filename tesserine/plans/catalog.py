@@ -84,7 +84,7 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     graphs = hnsw.build(v, max(1, -(-v.count() // hnsw.SHARD)), key="vec_id", vec="embedding")
     q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    return hnsw.search(graphs, q, 5, "vec_id").select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
+    return hnsw.search(graphs, q, 5, "vec_id", decimals=6).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
 
 
 _RANKED = """SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product({a}, {b}), 6) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0"""

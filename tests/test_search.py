@@ -46,6 +46,35 @@ def test_sharded_search_agrees_with_the_exact_one(spark):
     assert near.agg({"rank": "max"}).first()[0] == 5
 
 
+def test_checked_graph_search_is_the_sql(spark, tmp_path):
+    """Vectors without clusters, of which the beam misses some, and scores that differ beyond the sixth decimal only."""
+    from tesserine.plans import catalog
+    from tests.oracle import plain
+
+    x = vectors(2500, 64, 4)
+    for key in range(1, 30):  # about as close to the first vector, the closest last
+        x[key] = x[0] + np.float32(1e-3) * x[key] * (1 + (30 - key) * np.float32(1e-4))
+    x[:30] /= np.linalg.norm(x[:30], axis=1, keepdims=True)
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(path)
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    theirs = sorted(tuple(map(plain, r)) for r in con.sql(catalog.SQL["ann_topk"]).fetchall())
+    assert sorted(tuple(r) for r in catalog.ann_topk(spark, str(tmp_path)).collect()) == theirs and len(theirs) == 250
+
+
+def test_checked_graph_search_at_the_edges():
+    x = vectors(7, 4, 2)
+    g = hnsw.Graph.build(np.arange(7), x)
+    assert [len(c) for c in g.search_whole(x[:2], 0, 6)] == [0, 0, 0]
+    assert g.search_whole(x[:2], 20, 6)[0].tolist() == [0] * 7 + [1] * 7
+    assert [len(c) for c in hnsw.Graph.build(np.empty(0, int), np.empty((0, 4))).search_whole(x, 3, 6)] == [0, 0, 0]
+    copies = hnsw.Graph.build(np.arange(300), np.repeat(x[:1], 300, axis=0))
+    assert copies.search_whole(x[:1], 5, 6)[1].tolist() == [0, 1, 2, 3, 4]
+
+
 def test_batch_in_rounds_equals_one_round(spark, monkeypatch):
     x = vectors(200, 8, 3)
     df = frame(spark, x)
