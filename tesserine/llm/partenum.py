@@ -4,9 +4,11 @@ A document is the set of its distinct word n-grams. Sizes fall into bands so tha
 or neighbouring bands; within a tag (a band and the next) similar sets differ in at most k elements. The feature domain
 is hashed into n1 parts of three pieces each. With n1 = k//2 + 1 + spare, at least 1 + spare parts hold at most one
 difference, and there two of the three pieces agree: of the three signatures that part gives, one for each
-pair of pieces, similar sets share one. A signature of one item or none says little: thin ones are left out unless more
-parts than `spare` have one. Of the 1 + spare parts one then has none in either set that leaves them out, and what is shared of
-it is thick in both, so that similar sets still share a signature for certain. In small sets thin means empty.
+pair of pieces, similar sets share one. A signature of one item or none says little: thin ones are left out. Where no more than
+`spare` parts of a set have one, one of its 1 + spare parts has none, and what is shared of
+it is thick in both, so that similar sets still share a signature for certain. A set with more such parts is dealt anew by another hash and
+has both dealings' thick signatures, until few enough parts are weak: with the set that stops first, all similar ones share one.
+Only what is weak LEVELS times has its thin signatures too, at the last. In small sets, and where spare parts would be too many, thin means empty.
 
 Signatures travel as packed blocks sorted by hash. Sets with one signature are paired with the smallest of
 them, not with each other. Where that leaves a signature in several components, its sets are joined by prefix filter, so
@@ -32,8 +34,11 @@ from tesserine.llm.components import components
 HELD, HOT = 300_000, 64
 #: Items whose signatures are computed at a time, unless one set has more; pairs that a gathering task holds before it sends them on.
 ITEMS, PAIRS = 1 << 18, 1 << 19
-#: Cells of a set's sketch at most; sets of one signature, beyond its largest component, that are compared by sketch. More take the prefix filter.
-CELLS, FEW = 4096, 32
+#: Cells of a set's sketch at most; sets of one signature, beyond its largest component, that are compared by sketch. More take the prefix filter,
+#: which costs about as much as 100 comparisons for each signature that a set is there by, but does not grow with their number.
+CELLS, FEW = 4096, 256
+#: Times that a set with too many weak parts is dealt into parts anew before its thin signatures are used.
+LEVELS = 4
 #: Cells of the table of items' weights, by which the prefix filter orders them: a byte each.
 WEIGHTS = 1 << 24
 #: Text bytes for each task that gathers signatures.
@@ -107,10 +112,11 @@ def shingles(text: str | None, powers: Powers, n: int = 4) -> np.ndarray:
     return np.unique(out)
 
 
-def weak_share(items: float) -> float:
-    """How often two of three pieces hold one item or none, of pieces with so many items on average."""
+def weak_share(items: float, least: int = 2) -> float:
+    """How often two of three pieces together hold fewer than `least` items, one or two, of pieces with so many items on average."""
     none, one = math.exp(-items), items * math.exp(-items)
-    return 3 * none * none * (1 - none) + none**3 + 3 * none * ((1 - none) ** 2 - (1 - none - one) ** 2)
+    empty = 3 * none * none * (1 - none) + none**3
+    return empty + (3 * none * ((1 - none) ** 2 - (1 - none - one) ** 2) if least == 2 else 0)
 
 
 class Scheme:
@@ -135,10 +141,10 @@ class Scheme:
             k = (self.den - self.num) * (a + b) // (self.den + self.num)
             base = k // 2 + 1
             shape = (base + (0 if base <= 2 else 1 if base <= 12 else 2), 0 if base <= 2 else 1 if base <= 12 else 2, 1)
-            for spare in range(2, base // 4 + 1):  # enough spare parts for the weak ones that chance makes
-                weak = (base + spare) * weak_share(self.low[tag] / (3 * (base + spare)))
+            for spare, least in [(s, n) for n in (2, 1) for s in range(2, base // 4 + 1)]:  # enough spare parts for the weak ones that chance makes
+                weak = (base + spare) * weak_share(self.low[tag] / (3 * (base + spare)), least)
                 if spare >= weak + 2.3 * math.sqrt(weak):
-                    shape = (base + spare, spare, 2)
+                    shape = (base + spare, spare, least)
                     break
             self.shapes[tag] = shape if k else (0, 0, 1)
         return self.shapes[tag]
@@ -152,35 +158,39 @@ class Scheme:
 
     def _signatures(self, sets: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(x) for x in sets])
-        bands, all_sigs, all_ids = self.band(sizes), [], []
-        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        word = mix(flat + _GOLD)
+        bands, all_sigs, all_ids = self.band(sizes), [np.empty(0, np.uint64)], [ids[:0]]
         for step in (0, 1):
             tags = bands - step
             shape = {t: self.parts(t) for t in set(tags.tolist()) if t > 0}
-            n1, spare, least = np.array([shape.get(t, (0, 0, 1)) for t in tags.tolist()], np.int64).reshape(-1, 3).T
-            begin = np.concatenate([[0], np.cumsum(n1)])
-            own = np.repeat(np.arange(len(sets)), sizes)
-            live = n1[own] > 0
-            doc = own[live]
-            f, g = flat[live], word[live]
-            part = begin[doc] + ((f >> np.uint64(33)) % n1[doc].astype(np.uint64)).astype(np.int64)
-            piece = part * 3 + (g % np.uint64(3)).astype(np.int64)
-            sums = np.zeros(begin[-1] * 3, np.uint64)
-            np.add.at(sums, piece, g)
-            held = np.bincount(piece, minlength=begin[-1] * 3).reshape(-1, 3)
-            sums = mix(sums).reshape(-1, 3)
-            of = np.repeat(np.arange(len(sets)), n1)
-            index = np.arange(begin[-1]) - begin[of]
-            fewest = held.sum(axis=1) - held.max(axis=1)  # of the part's three signatures, the thinnest one's items
-            weak_parts = np.bincount(of, fewest < least[of], minlength=len(sets)).astype(np.int64)
-            tight = (weak_parts > spare)[of]
-            head = mix(tags[of].astype(np.uint64) * np.uint64(1_000_003) + index.astype(np.uint64))
-            for x, (y, z) in enumerate(((1, 2), (0, 2), (0, 1))):
-                keep = (held[:, y] + held[:, z] >= least[of]) | tight
-                sig = mix(mix(head + np.uint64(x) + sums[:, y]) + sums[:, z])
-                all_sigs.append(sig[keep])
-                all_ids.append(ids[of[keep]])
+            shapes = np.array([shape.get(t, (0, 0, 1)) for t in tags.tolist()], np.int64).reshape(-1, 3)
+            todo = np.flatnonzero(shapes[:, 0])
+            for level in range(LEVELS):
+                if not len(todo):
+                    break
+                n1, spare, least = shapes[todo].T
+                begin = np.concatenate([[0], np.cumsum(n1)])
+                f = np.concatenate([sets[i] for i in todo.tolist()])
+                f = mix(f + np.full(1, level, np.uint64) * _M1) if level else f
+                g = mix(f + _GOLD)
+                doc = np.repeat(np.arange(len(todo)), sizes[todo])
+                part = begin[doc] + ((f >> np.uint64(33)) % n1[doc].astype(np.uint64)).astype(np.int64)
+                piece = part * 3 + (g % np.uint64(3)).astype(np.int64)
+                sums = np.zeros(begin[-1] * 3, np.uint64)
+                np.add.at(sums, piece, g)
+                held = np.bincount(piece, minlength=begin[-1] * 3).reshape(-1, 3)
+                sums = mix(sums).reshape(-1, 3)
+                of = np.repeat(np.arange(len(todo)), n1)
+                index = np.arange(begin[-1]) - begin[of]
+                fewest = held.sum(axis=1) - held.max(axis=1)  # of the part's three signatures, the thinnest one's items
+                tight = np.bincount(of, fewest < least[of], minlength=len(todo)).astype(np.int64) > spare
+                whole = tight[of] & (level == LEVELS - 1)
+                head = mix(tags[todo[of]].astype(np.uint64) * np.uint64(1_000_003) + index.astype(np.uint64) + (np.uint64(level) << np.uint64(56)))
+                for x, (y, z) in enumerate(((1, 2), (0, 2), (0, 1))):
+                    keep = (held[:, y] + held[:, z] >= least[of]) | whole
+                    sig = mix(mix(head + np.uint64(x) + sums[:, y]) + sums[:, z])
+                    all_sigs.append(sig[keep])
+                    all_ids.append(ids[todo[of[keep]]])
+                todo = todo[tight]
         return np.concatenate(all_sigs), np.concatenate(all_ids)
 
 
@@ -436,25 +446,29 @@ def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
 
 
 def _among(num: int, den: int):  # noqa: ANN202
-    """The pairs (a, b) of each group's sets in different components whose sketches leave open that they are similar."""
+    """The pairs (a, b) of each group's sets in different components whose sketches leave open that they are similar, from rows of (some of the
+    group's largest component, all beyond it): as many comparisons as the product of the two. Those beyond are compared with each other where they are alone."""
 
     def run(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
         for batch in batches:
             one, two = [], []
-            for group in batch.column(0).to_pylist():
-                group.sort(key=lambda r: r["y"])
+            for inside, beyond in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                group = [*inside, *beyond]
                 ids, n, part = (np.array([r[c] for r in group], np.int64) for c in ("y", "n", "part"))
                 drawn = [np.frombuffer(r["sketch"], np.uint8).astype(np.int32) for r in group]
-                for width in {len(x) for x in drawn}:  # against those of the same width or wider
-                    own = np.flatnonzero([len(x) == width for x in drawn])
-                    other = np.flatnonzero([len(x) >= width for x in drawn])
-                    wide = np.stack([x.reshape(-1, width).sum(axis=0) for x in (drawn[i] for i in other)])
-                    for i in own:
-                        total = n[i] + n[other]
-                        able = (part[other] != part[i]) & ((den + num) * np.abs(wide - drawn[i]).sum(axis=1) <= (den - num) * total)
-                        found = other[able]
+                cells, outer = np.array([len(x) for x in drawn]), np.arange(len(group)) >= len(inside)
+                met = ~outer if inside else outer  # whom those beyond are compared with
+                for width in np.unique(cells).tolist():  # the narrower one's
+                    wider = np.flatnonzero(cells >= width)
+                    wide = np.stack([x.reshape(-1, width).sum(axis=0) for x in (drawn[i] for i in wider)])
+                    for at in np.flatnonzero(outer[wider]).tolist():
+                        i = wider[at]
+                        able = met[wider] & (part[wider] != part[i])
+                        able = np.flatnonzero(able if cells[i] == width else able & (cells[wider] == width))
+                        far = np.abs(wide[able] - wide[at]).sum(axis=1)
+                        found = wider[able[(den + num) * far <= (den - num) * (n[i] + n[wider[able]])]]
                         one.append(np.minimum(ids[i], ids[found]))
                         two.append(np.maximum(ids[i], ids[found]))
             a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (one, two))
@@ -557,7 +571,8 @@ def _all_links(tests: DataFrame, groups: DataFrame, sketches: DataFrame, docs: D
     beyond = few.filter(F.col("part") != F.col("main")).groupBy("sig").agg(F.collect_list("row").alias("o"))
     block = F.pmod(F.xxhash64("y"), F.ceil(F.col("inside") / FEW).cast("long"))
     inside = few.filter(F.col("part") == F.col("main")).withColumn("block", block).groupBy("sig", "block").agg(F.collect_list("row").alias("m"))
-    left = scratch(inside.join(beyond, "sig").select(F.concat("m", "o").alias("m")).mapInArrow(_among(num, den), "a long, b long").distinct())
+    alone = beyond.select(F.array().cast(inside.schema["m"].dataType).alias("m"), "o")
+    left = scratch(inside.join(beyond, "sig").select("m", "o").unionByName(alone).mapInArrow(_among(num, den), "a long, b long").distinct())
 
     many = around.filter(F.col("beyond") > FEW).select("sig", "y", "part")
     if not many.isEmpty():

@@ -120,6 +120,39 @@ def test_similar_sets_share_a_signature(size, num):
             assert set(sigs[ids == 0].tolist()) & set(sigs[ids == 1].tolist())
 
 
+@pytest.mark.parametrize("size", [20, 60, 200, 700, 3000])
+def test_unrelated_sets_share_no_signature(size):
+    """Nothing in common is no signature, in large sets either, many of whose parts are weak by chance."""
+    rng = np.random.default_rng(size)
+    sets = [np.unique(rng.integers(0, 2**63, size).astype(np.uint64)) for _ in range(300)]
+    sigs, ids = partenum.Scheme(80).signatures(sets, np.arange(300))
+    assert len(np.unique(sigs)) == len(sigs) and set(ids.tolist()) == set(range(300))
+
+
+@pytest.mark.parametrize("levels", [1, 2, 4])
+@pytest.mark.parametrize("size", [14, 60, 160, 700])
+def test_sets_dealt_anew_share_a_signature(size, levels, monkeypatch):
+    """With one spare part and thin signatures of two items nearly every large set is dealt anew, and some to the last."""
+    monkeypatch.setattr(partenum, "LEVELS", levels)
+    rng = np.random.default_rng(size)
+    scheme = partenum.Scheme(80)
+    scheme.band(np.array([10**5]))
+    for tag in range(1, len(scheme.low)):
+        n1, spare, _ = scheme.parts(tag)
+        scheme.shapes[tag] = (n1 - spare + 1, 1, 2) if n1 else (0, 0, 1)
+    near = 0
+    for _ in range(150):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        lost, won = rng.multinomial(len(a) // 5, [0.5, 0.5])
+        b = np.unique(np.concatenate([rng.permutation(a)[lost:], rng.integers(0, 2**63, won).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+            near += 1
+            sigs, ids = scheme.signatures([a, b], np.array([0, 1]))
+            assert set(sigs[ids == 0].tolist()) & set(sigs[ids == 1].tolist())
+    assert near > 100
+
+
 def test_pack():
     x = np.array([0, 1, -1, 2**62, 255, 256])
     assert partenum.unpack(partenum.pack(x), len(x)).tolist() == x.tolist()
