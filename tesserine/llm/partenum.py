@@ -19,7 +19,9 @@ Tests compare the sets whole. Equal sets stand for one another throughout.
 
 from __future__ import annotations
 
+import itertools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ CELLS, FEW = 4096, 32
 LEVELS = 4
 #: Cells of the table of items' weights, by which the prefix filter orders them: a byte each.
 WEIGHTS = 1 << 24
+#: Bits of a cell's number within the slice of that table that one task adds up.
+SLICE = 18
 #: Text bytes for each task that gathers signatures.
 TASK_BYTES = 16 << 20
 SPLITS = 16
@@ -477,15 +481,69 @@ def _among(num: int, den: int):  # noqa: ANN202
     return run
 
 
+def _cells(size: int):  # noqa: ANN202
+    """How many items fall into each of `size` cells, as blocks (slice, n, n cells and n counts) of a bounded number of items each."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        def flush(items: list[np.ndarray]) -> pa.RecordBatch:
+            cells, counts = np.unique(np.concatenate(items) & (size - 1), return_counts=True)
+            own = cells >> SLICE
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            blocks = [(int(own[at]), to - at, pack(cells[at:to]) + pack(counts[at:to])) for at, to in zip(first.tolist(), [*first[1:].tolist(), len(cells)])]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*blocks), (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "n", "data"])
+
+        held = []
+        for batch in batches:
+            held.append(batch.column(1).flatten().to_numpy())
+            if sum(map(len, held)) > ITEMS:
+                yield flush(held)
+                held = []
+        if sum(map(len, held)):
+            yield flush(held)
+        settle()
+
+    return run
+
+
+def _weigh(size: int):  # noqa: ANN202
+    """Each slice's weights, a byte for each cell, compressed, from its blocks, which come together."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        def weights(own: int, sums: np.ndarray) -> pa.RecordBatch:
+            found = np.minimum(255, np.floor(8 * np.log2(np.maximum(sums, 1)))).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([zlib.compress(found.tobytes())], pa.binary())], names=["bucket", "data"])
+
+        now, sums = None, np.zeros(min(size, 1 << SLICE), np.int64)
+        for batch in batches:
+            for bucket, n, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if bucket != now:
+                    if now is not None:
+                        yield weights(now, sums)
+                    now, sums[:] = bucket, 0
+                sums[unpack(data, n) & (len(sums) - 1)] += unpack(data[8 * n :], n)
+        if now is not None:
+            yield weights(now, sums)
+        settle()
+
+    return run
+
+
 def _weights(sets: DataFrame) -> np.ndarray:
     """What each cell of items weighs: 0 if it holds one occurrence at most, else more the more it holds, by eighths of powers of two.
 
-    The table has WEIGHTS bytes whatever the number of items; at most that many rows (cell, weight) come to the driver.
+    The table has WEIGHTS bytes whatever the number of items, and comes to the driver in slices. Items are counted where they are read.
     """
-    cells = sets.select(F.explode("items").alias("item")).groupBy(F.col("item").bitwiseAND(F.lit(WEIGHTS - 1)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    found = cells.filter("n > 1").select("cell", F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("short").alias("weight")).toArrow()
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = sets.mapInArrow(_cells(WEIGHTS), "bucket int, n int, data binary")
+    found = counts.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_weigh(WEIGHTS), "bucket int, data binary").toArrow()
     table = np.zeros(WEIGHTS, np.uint8)
-    table[found.column("cell").to_numpy()] = found.column("weight").to_numpy()
+    for own, data in zip(found.column("bucket").to_pylist(), found.column("data").to_pylist()):
+        part = np.frombuffer(zlib.decompress(data), np.uint8)
+        table[own << SLICE : (own << SLICE) + len(part)] = part
     return table
 
 
@@ -521,17 +579,107 @@ def _heads(table: np.ndarray, num: int, den: int):  # noqa: ANN202
     return run
 
 
-def _all_links(tests: DataFrame, groups: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, scratch: Scratch, num: int, den: int) -> DataFrame:
+def _heads_blocks(buckets: int):  # noqa: ANN202
+    """From rows (id, n, part, head): blocks (bucket, n, columns item, id, part, size and rank) of the heads' items, a bounded number at a time."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        def flush(cols: list[np.ndarray]) -> pa.RecordBatch:
+            rows = np.concatenate(cols, axis=1)
+            own = _bucket(rows[0].view(np.uint64), buckets)
+            order = np.argsort(own, kind="stable")
+            rows, own = rows[:, order], own[order]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            blocks = [(int(own[at]), to - at, b"".join(pack(c[at:to]) for c in rows)) for at, to in zip(first.tolist(), [*first[1:].tolist(), len(own)])]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*blocks), (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "n", "data"])
+
+        held, n = [], 0
+        for batch in batches:
+            head = batch.column(3)
+            count = np.diff(head.offsets.to_numpy())
+            flat = head.flatten()
+            mine = [np.repeat(batch.column(k).to_numpy(), count) for k in (0, 2, 1)]
+            held.append(np.stack([flat.field(0).to_numpy(), *mine, flat.field(1).to_numpy()]).astype(np.int64))
+            n += held[-1].shape[1]
+            if n > HELD:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
+        settle()
+
+    return run
+
+
+def _meet(num: int, den: int):  # noqa: ANN202
+    """The pairs (a, b) of sets in different components that share an item of their heads, where their sizes and the item's ranks leave open
+    that they are similar; from the heads' blocks, one bucket after the other. An item's sets beyond its largest component are compared with
+    those of its other components that are of such a size."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        def tests(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            found = _added(pairs)
+            for at in range(0, len(found), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 50_000, k]) for k in range(2)], names=["a", "b"])
+
+        def met(blocks: list[np.ndarray]) -> Iterator[np.ndarray]:
+            rows = np.concatenate(blocks, axis=1)
+            item, own, part, n, rank = rows[:, np.lexsort((rows[3], rows[0]))]
+            of = np.cumsum(np.concatenate([[False], item[1:] != item[:-1]]))
+            kinds, part = np.unique(part, return_inverse=True)
+            held, count = np.unique(of * len(kinds) + part, return_counts=True)
+            order = np.lexsort((count, held // len(kinds)))
+            main = (held % len(kinds))[order][np.flatnonzero(np.diff(held[order] // len(kinds), append=-1))]
+            outer = np.flatnonzero(part != main[of])
+            span = n.max() + 1  # an item's sets, ordered by size, take so many numbers
+            key = of * span + n
+            low = np.searchsorted(key, of[outer] * span - (-num * n[outer] // den))
+            high = np.searchsorted(key, of[outer] * span + np.minimum(span - 1, den * n[outer] // num), "right")
+            step = np.cumsum(high - low) // PAIRS
+            cut = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(outer)]
+            for x, y in zip(cut, cut[1:]):
+                many = high[x:y] - low[x:y]
+                a = np.repeat(outer[x:y], many)
+                b = np.arange(len(a)) + np.repeat(low[x:y] - np.cumsum(many) + many, many)
+                on = (part[a] != part[b]) & ((a < b) | (part[b] == main[of[b]]))
+                a, b = a[on], b[on]
+                most = 1 + np.minimum(n[a] - rank[a], n[b] - rank[b])
+                near = den * most >= num * (n[a] + n[b] - most)
+                a, b = own[a[near]], own[b[near]]
+                yield _added([np.stack([np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64)], axis=1)])
+
+        now, blocks, pairs, many = None, [], [], 0
+        for bucket, n, data in itertools.chain((x for batch in batches for x in zip(*(batch.column(k).to_pylist() for k in range(3)))), [(-1, 0, b"")]):
+            if bucket != now and blocks:
+                for found in met(blocks):
+                    pairs.append(found)
+                    many += len(found)
+                    if many > PAIRS:
+                        yield from tests(pairs)
+                        pairs, many = [], 0
+                blocks = []
+            now = bucket
+            if n:
+                blocks.append(np.stack([unpack(data[8 * n * k : 8 * n * (k + 1)], n) for k in range(5)]))
+        if pairs:
+            yield from tests(pairs)
+        settle()
+
+    return run
+
+
+def _all_links(tests: DataFrame, groups: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, tasks: int, scratch: Scratch, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect whatever is similar. tests: (a, b, c), c the signatures shared; groups: (sig, y); sketches: (id, n, sketch).
 
     Pairs whose sketches differ too much are dropped. Of the rest, each document is first tested against the one it shares most
     signatures with; then only what lies in different components matters. Where a signature spans components, its documents
     beyond the largest one are compared by sketch with each other and, block by block, with those of the largest, if they are few. If they are
-    many, the signature's documents are tested that pass a positional prefix filter: with items in order of
+    many, the signatures' documents are tested that pass a positional prefix filter: with items in order of
     weight (their cell's frequency; any order that is the same for all sets is right), the first one that similar sets share stands early in both. So no link is lost that could join two components.
     """
-    pairs = lambda d: d.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
     def sets_of(ids: DataFrame) -> DataFrame:
         return docs.hint("merge").join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, items array<long>")
 
@@ -580,18 +728,9 @@ def _all_links(tests: DataFrame, groups: DataFrame, sketches: DataFrame, docs: D
         scratch.drop(sets_path)
         many = scratch(spanning(many.join(ranked.select(F.col("id").alias("y")), "y", "left_semi")).select("sig", "y", "part"))
         part_of = many.select(F.col("y").alias("id"), "part").distinct()
-        head = ranked.join(part_of, "id").select("id", "n", "part", F.inline("head"))
-        head, head_path = scratch.write(head)
-        mixed = scratch(head.groupBy("item").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("item"))
-        head = head.join(mixed, "item", "left_semi")
-        other = head.select(F.col("id").alias("y"), "item", F.col("n").alias("m"), F.col("rank").alias("at"), F.col("part").alias("there"))
-        most = 1 + F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("at"))
-        near = (F.col("id") < F.col("y")) & (F.col("part") != F.col("there")) & (den * most >= num * (F.col("n") + F.col("m") - most))
-        met = pairs(head.alias("p").join(other, "item").filter(near).select(F.col("id").alias("x"), "y"))
-        signed = lambda c: many.select("sig", F.col("y").alias(c))
-        met = met.join(signed("a"), "a").join(signed("b"), ["b", "sig"], "left_semi").select("a", "b", F.lit(1).cast("long").alias("c")).distinct()
+        blocks = ranked.join(part_of, "id").select("id", "n", "part", "head").mapInArrow(_heads_blocks(tasks * SPLITS), "bucket int, n int, data binary")
+        met = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(num, den), "a long, b long").distinct().withColumn("c", F.lit(1).cast("long"))
         left = scratch(left.unionByName(_possible(met, sketches, num, den).select("a", "b")).distinct())
-        scratch.drop(head_path)
     last = scratch(left.join(best.unionByName(waiting), ["a", "b"], "left_anti"))
     return scratch(links.unionByName(judged(last)))
 
@@ -626,7 +765,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", num: int
     tests = scratch(tests.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "c").groupBy("a", "b").agg(F.max("c").alias("c")))
     groups = found.filter(F.col("kind") == GROUP).select(F.col("a").alias("sig"), F.explode("docs").alias("id"))
     groups = groups.join(one.select("id", "rep").distinct(), "id").select("sig", F.col("rep").alias("y")).distinct()
-    links = _all_links(tests, groups, sketches, docs, width, scratch, num, den)
+    links = _all_links(tests, groups, sketches, docs, width, tasks, scratch, num, den)
 
     parts = components(links, "a", "b", scratch).select(F.col("node").alias("rep"), "component")
     rows = meta.join(parts, "rep", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

@@ -1,7 +1,9 @@
 import collections
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tesserine.llm import partenum, queries
@@ -153,6 +155,68 @@ def test_sets_dealt_anew_share_a_signature(size, levels, monkeypatch):
     assert near > 100
 
 
+def rows_made(spark, since):
+    """(operator with its arguments, rows made) of the operators of SQL executions after the first `since`."""
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty(30_000)
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    for k in range(since, store.executionsCount()):
+        execution = store.executionsList().apply(k).executionId()
+        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    out.append((node.desc(), int(values.apply(metric.accumulatorId()).replace(",", ""))))
+    return out
+
+
+def test_many_documents_of_a_signature_are_not_multiplied(spark, monkeypatch):
+    """Sets that share signatures and are not similar: no row for each item, none for each pair and signature."""
+    rng = random.Random(10)
+    phrase = [f"p{i}" for i in range(60)]
+    rows = list(enumerate(" ".join([*phrase, *(f"d{k}x{i}" for i in range(rng.randrange(9, 16)))]) for k in range(50)))
+    monkeypatch.setattr(partenum, "FEW", 2)
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert run(spark, rows) == brute(rows)
+    made = rows_made(spark, since)
+    assert not [x for x in made if "explode(items" in x[0] or "inline(head" in x[0]]
+    joined = [n for desc, n in made if "Join [a#" in desc]
+    assert joined and 0 < max(joined) <= len(rows) * (len(rows) - 1) // 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_heads_meet_as_by_brute_force(seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(partenum, "PAIRS", rng.choice([1, 7, 1 << 19]))
+    monkeypatch.setattr(partenum, "HELD", rng.choice([3, 50, 300_000]))
+    docs = []
+    for k in range(60):
+        n = rng.randrange(1, 40)
+        docs.append((k * 5 - 40, n, rng.randrange(4), [(x, r + 1) for r, x in enumerate(rng.sample([i * 2**60 for i in range(-8, 8)], min(n, 6)))]))
+    want = set()
+    for a, b in itertools.combinations(docs, 2):
+        for (x, r), (y, q) in itertools.product(a[3], b[3]):
+            most = 1 + min(a[1] - r, b[1] - q)
+            if x == y and a[2] != b[2] and 100 * most >= 80 * (a[1] + b[1] - most):
+                want.add((a[0], b[0]))
+    heads = pa.array([[{"item": x, "rank": r} for x, r in d[3]] for d in docs], pa.list_(pa.struct([("item", pa.int64()), ("rank", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([*(pa.array([d[k] for d in docs], pa.int64()) for k in range(3)), heads], names=["id", "n", "part", "head"])
+    dealt = partenum._heads_blocks(5)(iter([batch.slice(0, 20), batch.slice(20)]))
+    blocks = pa.Table.from_batches(dealt).sort_by("bucket").combine_chunks().to_batches()
+    met = [(r["a"], r["b"]) for x in partenum._meet(80, 100)(iter(blocks)) for r in x.to_pylist()]
+    assert want and set(met) == want
+
+
+@pytest.mark.parametrize("size", [64, 1 << 20])
+def test_weights_of_cells(spark, size, monkeypatch):
+    rng = random.Random(size)
+    monkeypatch.setattr(partenum, "WEIGHTS", size)
+    monkeypatch.setattr(partenum, "ITEMS", 70)
+    sets = [[rng.randrange(-(2**63), 2**63) for _ in range(30)] + [5, size - 1] for _ in range(20)]
+    table = partenum._weights(spark.createDataFrame(list(enumerate(sets)), "id long, items array<long>").repartition(3))
+    count = collections.Counter(x & (size - 1) for x in itertools.chain(*sets))
+    assert {k: int(table[k]) for k in np.flatnonzero(table).tolist()} == {k: int(8 * np.log2(n)) for k, n in count.items() if n > 1}
+
+
 def test_pack():
     x = np.array([0, 1, -1, 2**62, 255, 256])
     assert partenum.unpack(partenum.pack(x), len(x)).tolist() == x.tolist()
